@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = reps.join(found.select(F.col("node").alias("fp"), "root"), "fp")
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     moved = rooted.join(least, "root").select("fp", "least")
-    names = reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # Lineage is cut so that both sides of the last join are plain exchanges, whose hot fingerprints AQE can split.
+    names = cut_lineage(reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return fps.join(names, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
