@@ -1,0 +1,230 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator."""
+
+import random
+
+import pytest
+
+from tessella.llm import decontaminate, html_extract, langid, licenses, media, packing, secrets, sharding, simhash, token_counts
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, ws string, key string, length int, score string, scanned string, spans string, `end` int, label string"
+
+
+def rows():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    long = " ".join(word() for _ in range(60_000))
+    plain = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    texts = [None, "", " \n\t ", "a", "12 34 !!", "é" * 5, plain[0], plain[0], plain[1], plain[1] + " end", long, "x" * 300_000, "token = \"0123456789abcdef0123456789abcdef\"", *plain[2:]]
+    out = [(i, t, ("en", "fr", None)[i % 3], ("s", None)[i % 2], len(t or "")) for i, t in enumerate(texts)]
+    out += [out[6], out[6], (None, plain[0], None, None, None), (None, None, None, None, None), (99, None, "en", "s", 0)]
+    return [(*r, "f", "w", "k", 1, "sc", "t", "sp", 2, "l") for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    t = rows()[8][1].split()
+    items = [(1, " ".join(t[3:20]).upper()), (2, None), (3, ""), (None, " ".join(t[:12])), (4, "a"), (4, "a"), (5, " ".join(t[3:16]))]
+    return spark.createDataFrame(items, "item_id bigint, text string")
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, docs, benchmark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("sf"))
+    docs.write.parquet(f"{d}/documents.parquet")
+    benchmark.write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" * 5000 + "deep"), (3, "u", "plain text & no tags")], "page_id bigint, url string, html string").write.parquet(f"{d}/pages.parquet")
+    return d
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, nothing, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("none"))
+    nothing.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{d}/pages.parquet")
+    return d
+
+
+OPS = {"op1": token_counts.op1, "op2": secrets.op2, "op3": langid.op3, "op4": simhash.op4, "op5": sharding.op5, "op6": media.op6, "op7": packing.op7, "op8": html_extract.op8, "op9": decontaminate.op9, "op10": licenses.op10}
+STAGES = {"langid": langid.stage, "simhash": simhash.stage, "decontaminate": decontaminate.stage, "secrets": secrets.stage}
+
+
+@pytest.mark.parametrize("name", OPS)
+def test_edge_rows_and_empty_tables(spark, sf_dir, empty_dir, name):
+    got = OPS[name](spark, sf_dir).collect()
+    if name == "op8":
+        assert [(r.page_id, r.text) for r in sorted(got, key=lambda r: (r.page_id, len(r.text)))] == [(1, ""), (2, ""), (3, "deep"), (3, "plain text & no tags")]
+    elif name == "op7":
+        assert {r.doc_id for r in got} == {r[0] for r in rows()}
+    else:
+        assert len(got) == len(rows())
+    assert OPS[name](spark, empty_dir).collect() == []
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_columns_and_stand_edges(spark, docs, nothing, sf_dir, empty_dir, name):
+    out = STAGES[name](spark, docs, sf_dir)
+    assert out.schema.names == docs.schema.names
+    kept = out.collect()
+    assert 0 < len(kept) <= len(rows())
+    assert STAGES[name](spark, nothing, empty_dir).collect() == []
+    if name == "secrets":
+        assert len(kept) == len(rows()) and any(r.text == secrets.MASK and r.n_chars == len(secrets.MASK) for r in kept)
+
+
+def test_simhash_ties_and_copies(spark, docs):
+    got = simhash.near_duplicates(docs).collect()
+    zero = {r.component_id for r in got if r.fp == 0}
+    assert zero == {0}
+    assert {r.component_id for r in got if r.doc_id in (6, 7)} == {6}
+    kept = [r.doc_id for r in simhash.stage(spark, docs, "").collect()]
+    assert kept.count(6) == 1 and 7 not in kept and 1 not in kept and 99 not in kept and kept.count(None) == 2
+
+
+def test_simhash_hot_lists_give_the_same_links(spark):
+    rng = random.Random(2)
+    centre = rng.getrandbits(64)
+    values = sorted({centre ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for _ in range(150)})
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    fps = spark.createDataFrame([(v,) for v in signed], "fp bigint")
+
+    def roots(hot):
+        return {r.node: r.root for r in simhash.components(simhash.links(fps, hot)).collect()}
+
+    parent = {v: v for v in signed}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a in signed:
+        for b in signed:
+            if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {v: root(v) for v in signed if any(root(v) == root(w) and v != w for w in signed)}
+    assert roots(10_000) == want
+    assert roots(3) == want
+
+
+def test_position_sets_hold_any_six_positions():
+    from itertools import combinations
+
+    sets = simhash.position_sets()
+    assert all(any(set(s) <= set(six) for s in sets) for six in combinations(range(8), 6))
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500)], "a bigint, b bigint")
+    got = {r.node: r.root for r in simhash.components(chain).collect()}
+    assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_markov_tells_random_strings_from_identifiers(spark):
+    labelled = secrets.samples(n=400, seed=99)
+    texts = spark.createDataFrame([(i, f"see {t} here", label) for i, (t, label) in enumerate(labelled) if len(t) >= secrets.MIN_RUN], "doc_id bigint, text string, label int")
+    found = secrets.scan(texts).selectExpr("label", "size(hex) + size(markov) + size(access) + size(assign) > 0 AS hit").collect()
+    random_ = [r.hit for r in found if r.label]
+    ordinary = [r.hit for r in found if not r.label]
+    assert sum(random_) / len(random_) > 0.95
+    assert sum(ordinary) / len(ordinary) < 0.02
+
+
+def test_redaction_merges_overlaps(spark):
+    text = 'é token = "0123456789abcdef0123456789abcdef" and q7Zx9Lm2Kp4Vt8Rw3Nc6Yb1Hd5 end'
+    got = secrets.redact(spark.createDataFrame([(text,), (None,)], "text string")).collect()
+    assert got[0].text == f'é {secrets.MASK}" and {secrets.MASK} end'
+    assert got[1].text is None
+
+
+def test_language_rejection_keeps_prose_and_drops_noise(spark):
+    from tessella.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    kept = langid.stage(spark, docs, sf).count()
+    assert kept >= 0.99 * docs.count()
+    noise = [(i, "".join(chr(0x4E00 + (7 * i + 31 * j) % 5000) for j in range(300)), "zz") for i in range(5)]
+    model = langid.fit(docs.select("doc_id", "lang", "text"))
+    out = langid.identify(spark.createDataFrame(noise, "doc_id bigint, text string, lang string"), model)
+    assert all(r.rejected for r in out.collect())
+
+
+def test_decontamination_of_short_and_overlapping_items(spark, docs, benchmark, sf_dir):
+    got = {r.doc_id: r for r in decontaminate.op9(spark, sf_dir).collect() if r.doc_id is not None}
+    assert (got[8].n_hit, got[8].n_items) == (17, 2)
+    assert (got[3].n_hit, got[3].n_items, got[3].contaminated) == (1, 1, True)
+    assert got[0].n_words == 0 and not got[0].contaminated
+
+
+@pytest.mark.parametrize("text,labels", [
+    ("Licenced undr the Apache License, Version 2.0", {"apache-2.0"}),
+    ("released under the MIT licence", {"mit"}),
+    ("a mitten under the tree", set()),
+])
+def test_fuzzy_notices(text, labels):
+    norm = " ".join(licenses.WORD.findall(text.lower()))
+    found = licenses.fuzzy(norm)
+    assert {x for _, _, x, _ in found} == labels
+    assert all(e <= licenses.MAX_EDITS for *_, e in found)
+
+
+def test_png_reader_rejects_damage():
+    import numpy as np
+
+    blob = bytearray(media.encode_png(np.arange(256, dtype=np.uint8).reshape(4, 64)))
+    blob[45] ^= 1
+    with pytest.raises(ValueError):
+        media.decode_png(bytes(blob))
+
+
+def test_png_unfilters_every_kind():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 256, (5, 16), dtype=np.uint8)
+    rows_, above = [], np.zeros(16, int)
+    for kind, row in enumerate(image.astype(int)):
+        left, corner = np.concatenate([[0], row[:-1]]), np.concatenate([[0], above[:-1]])
+        p = left + above - corner
+        pick = [np.zeros(16, int), left, above, (left + above) // 2, None][kind]
+        if kind == 4:
+            d = np.abs(np.stack([p - left, p - above, p - corner]))
+            pick = np.choose(d.argmin(axis=0), [left, above, corner])
+        rows_.append(np.concatenate([[kind], (row - pick) % 256]).astype(np.uint8))
+        above = row
+    assert (media._unfilter(np.stack(rows_)) == image).all()
+
+
+def test_min_cut_equals_exhaustive_search():
+    from itertools import product
+
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randint(1, 8)
+        gain = [rng.uniform(-1, 1) for _ in range(n)]
+        links = {(i, j): rng.uniform(0, 1) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5}
+
+        def cost(x, gain=gain, links=links):
+            return sum(abs(g) for g, v in zip(gain, x, strict=True) if (g >= 0) != v) + sum(w for (i, j), w in links.items() if x[i] != x[j])
+
+        assert cost(html_extract.min_cut(gain, links)) == pytest.approx(min(map(cost, product((True, False), repeat=n))))
+
+
+def test_html_of_many_shapes():
+    page = """<html><head><title>T</title><style>p{}</style></head><body><header>H</header><div class="cookie-notice">C</div>
+    <main><h1>Head &amp; line</h1><p>One <b>two</b>
+    three<br>four<p>Five &lt;six&gt;<script>var a = "<p>no</p>";</script></p><ul><li>item<li>item 2</ul></main>
+    <aside>Side</aside><div id="comments"><p>Great post, thanks for sharing it with everyone here today.</p></div><form>F<input></form><footer>Foot</footer></body></html>"""
+    assert html_extract.extract(page).split("\n") == ["Head & line", "One two three four", "Five <six>", "item", "item 2"]
