@@ -15,15 +15,20 @@ def events(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Event time as a timestamp: watermarks take no timestamp without a time zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def class_rates(stream: DataFrame, time: str = "ts", column: str = "event_type", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows of each class by tumbling window; state of windows older than the watermark is dropped."""
-    counts = stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), column).agg(F.count("*").alias("n"))
+    counts = _timed(stream, time).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), column).agg(F.count("*").alias("n"))
     return counts.select(F.col("w.start").alias("start"), column, "n")
 
 
 def once_each(stream: DataFrame, key: str, time: str = "ts", late: str = "1 hour") -> DataFrame:
     """The first row of each key within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def write_batches(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
