@@ -1,9 +1,11 @@
 """Nearest-centroid language identification over normalised TF-IDF character n-gram vectors.
 
-Vectors: hashed byte bigrams and trigrams of the lower-cased UTF-8 text, log-scaled, weighted by IDF, of length one.
+Vectors: hashed byte bigrams and trigrams of the lower-cased UTF-8 text, in which each run of ASCII characters that are
+no letters is one space; counts are log-scaled, weighted by IDF, and the vector has length one.
 Each language has up to CLUSTERS centroids (spherical k-means). A text takes the language of the centroid with the
-largest cosine. Rejection is by distance: under the floor of its n-gram count's band (half the least cosine that a
-training text of the band reached) a text is like no learned language.
+largest cosine. Rejection is by distance: under the floor of its n-gram count's band (FLOOR times the least cosine that
+a training text of the band reached) a text is like no learned language. Texts of under MIN_GRAMS n-grams are too short
+for their distance to tell and are not rejected by it.
 
 Bound: the classifier is fitted on about PER_LANG texts of each language, chosen by a hash of the id (a stated
 sample of labelled rows; whole texts). Prediction covers every row and never sees lang, source or the id.
@@ -26,15 +28,21 @@ DIMS = 4096
 PER_LANG = 400
 CLUSTERS = 4
 MAX_LANGS = 1000
+FLOOR = 0.3
+MIN_GRAMS = 64
 UNKNOWN = "und"
 _SLICE = 128
+#: Code of each byte: itself for a-z and bytes of other letters, a space for the rest of ASCII.
+_LETTERS = np.array([c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint32)
 
 
 def ngram_counts(texts: list[bytes]) -> np.ndarray:
     """Rows of hashed bigram and trigram counts, one for each text."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for row, text in zip(out, texts, strict=True):
-        b = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.uint32)
+        b = _LETTERS[np.frombuffer(b" " + text + b" ", np.uint8)]
+        space = b == 32
+        b = b[~(space & np.concatenate([[False], space[:-1]]))]
         two = b[:-1] * 257 + b[1:]
         three = two[:-1] * 263 + b[2:]
         for codes, salt in ((two, 17), (three, 40503)):
@@ -93,7 +101,7 @@ def fit_counts(counts: np.ndarray, labels: list[str], clusters: int = CLUSTERS)
     bands, low, floors = _band(counts), 1.0, []
     for b in range(40, -1, -1):  # a shorter band's floor is never above a longer one's
         low = min([low, *best[bands == b]])
-        floors.append(0.5 * low if b > bands.min() else 0.0)
+        floors.append(FLOOR * low if 2**b >= MIN_GRAMS else 0.0)
     model.floors = np.array(floors[::-1])
     return model
 
