@@ -174,8 +174,9 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def features(b: Block) -> tuple[float, ...]:
-    return (1.0, min(len(b.text), 1000) / 250, b.linked, float(b.content), float(b.hint), float(b.chrome), float(b.heading))
+def features(b: Block, marked: bool) -> tuple[float, ...]:
+    """marked: the page marks its content somewhere, so that a block outside of it is suspect."""
+    return (1.0, min(len(b.text), 1000) / 250, b.linked, float(b.content), float(marked and not b.content), float(b.hint), float(b.chrome), float(b.heading))
 
 
 def block_samples(n: int = 4000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -187,11 +188,15 @@ def block_samples(n: int = 4000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]
         if content:
             article = rng.random() < 0.8
             length = rng.choice((rng.uniform(2, 60), rng.uniform(60, 1000))) if article else rng.uniform(80, 1000)
-            row = (1.0, length / 250, rng.choice((0, 0, 0, rng.random())) if article else 0.2 * rng.random(), float(article), 0.0, 0.0, float(article and rng.random() < 0.15))
+            row = (1.0, length / 250, rng.choice((0, 0, 0, rng.random())) if article else 0.2 * rng.random(), float(article), 0.0, 0.0, 0.0, float(article and rng.random() < 0.15))
         else:
             chrome, hint = rng.choice(((1, 0), (1, 1), (0, 1), (0, 1), (0, 0)))
             plain = not (chrome or hint)
-            row = (1.0, rng.uniform(2, 40 if plain else 400) / 250, rng.uniform(0.6, 1) if plain else rng.random(), float(not plain and rng.random() < 0.4), float(hint), float(chrome), float(rng.random() < 0.1))
+            length = rng.uniform(2, 40) if plain else rng.choice((rng.uniform(2, 60), rng.uniform(60, 1000)))
+            inside = not plain and rng.random() < 0.6
+            outside = not inside and rng.random() < 0.7
+            linked = rng.uniform(0.6, 1) if plain and not outside else rng.choice((0, rng.random()))
+            row = (1.0, length / 250, linked, float(inside), float(outside), float(hint), float(chrome), float(rng.random() < 0.1))
         x.append(row)
         y.append(float(content))
     return np.array(x), np.array(y)
@@ -199,13 +204,13 @@ def block_samples(n: int = 4000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]
 
 @lru_cache(maxsize=1)
 def classifier() -> tuple[float, ...]:
-    """Weights of a logistic regression on block_samples() (Newton steps, ridge 1)."""
+    """Weights of a logistic regression on block_samples() (Newton steps, ridge 0.1)."""
     x, y = block_samples()
     w = np.zeros(x.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-x @ w))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w))
-        w -= np.linalg.solve(hessian, x.T @ (p - y) + w)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + 0.1 * w)
     return tuple(w.tolist())
 
 
@@ -297,8 +302,8 @@ def extract(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    w = classifier()
-    gain = [sum(a * b for a, b in zip(w, features(b), strict=True)) for b in found]
+    w, marked = classifier(), any(b.content for b in found)
+    gain = [sum(x * y for x, y in zip(w, features(b, marked), strict=True)) for b in found]
     return "\n".join(b.text for b, keep in zip(found, min_cut(gain, edges(found)), strict=True) if keep)
 
 

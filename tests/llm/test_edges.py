@@ -228,3 +228,12 @@ def test_html_of_many_shapes():
     three<br>four<p>Five &lt;six&gt;<script>var a = "<p>no</p>";</script></p><ul><li>item<li>item 2</ul></main>
     <aside>Side</aside><div id="comments"><p>Great post, thanks for sharing it with everyone here today.</p></div><form>F<input></form><footer>Foot</footer></body></html>"""
     assert html_extract.extract(page).split("\n") == ["Head & line", "One two three four", "Five <six>", "item", "item 2"]
+
+
+def test_html_comments_and_notices_inside_the_article():
+    prose = "Long plain sentences of a reader who has much to say about it. " * 12
+    page = f"""<body><div id="page"><article class="post"><h2>Title</h2><p>Of.</p><p>{prose}</p>
+    <section class="comments"><h3>Comments</h3><p>{prose}</p><p>Short.</p></section><div class="advertBanner">{prose}</div>
+    <nav><a href="#">more</a></nav><p>Last <a href="x">link only</a>.</p></article><div class="newsletter-signup">{prose}</div></div></body>"""
+    assert html_extract.extract(page).split("\n") == ["Title", "Of.", prose.strip(), "Last link only."]
+    assert html_extract.extract(f"<body><p>{prose}</p><p>{prose}</p><ul><li><a>Home</a><li><a>About</a></ul></body>").split("\n") == [prose.strip()] * 2
