@@ -129,7 +129,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             out.append(hit.astype("<u2").tobytes() + row[hit].astype("<f4").tobytes())
         return [out]
 
-    got = append(sample, kernel, "__vec binary").select("__lang", "__vec").orderBy("__lang", F.xxhash64("__vec")).collect()
+    got = sorted(tuple(r) for r in append(sample, kernel, "__vec binary").select("__lang", "__vec").collect())
     counts = np.zeros((len(got), DIMS), np.float32)
     for row, (_, raw) in zip(counts, got, strict=True):
         n = len(raw) // 6
