@@ -32,7 +32,7 @@ def _cross(e: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    return F.coalesce(_sum(F.transform(edges(ring), _cross)) / 2, F.lit(0.0))
+    return let(ring, lambda r: F.coalesce(_sum(F.transform(edges(r), _cross)) / 2, F.lit(0.0)))
 
 
 def area(ring: Column) -> Column:
@@ -46,7 +46,7 @@ def area_with_holes(rings: Column) -> Column:
 
 def perimeter(ring: Column) -> Column:
     length = lambda e: F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"])
-    return _sum(F.transform(edges(ring), length))
+    return let(ring, lambda r: _sum(F.transform(edges(r), length)))
 
 
 def circularity(a: Column, p: Column) -> Column:
@@ -84,9 +84,11 @@ def _clip_half(ring: Column, axis: str, bound: Column, keep_low: bool) -> Column
         along = bound.cast("double").alias(axis)
         return F.struct(along, across) if axis == "x" else F.struct(across, along)
 
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
     def step(e: Column) -> Column:
-        own = F.when(inside(e["p"]), F.array(e["p"])).otherwise(F.filter(F.array(e["p"]), lambda _: F.lit(False)))
-        cut = F.when(inside(e["p"]) != inside(e["q"]), F.array(crossing(e))).otherwise(F.filter(F.array(e["p"]), lambda _: F.lit(False)))
+        own = F.when(inside(e["p"]), F.array(e["p"])).otherwise(none)
+        cut = F.when(inside(e["p"]) != inside(e["q"]), F.array(crossing(e))).otherwise(none)
         return F.concat(own, cut)
 
     return F.flatten(F.transform(edges(ring), step))
@@ -104,8 +106,15 @@ def _half(axis: str, bound: Column, keep_low: bool) -> Callable[[Column], Column
 
 
 def coverage_pct(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Share of the ring's area inside a box, in percent; zero for a ring without area."""
-    return let(area(ring), lambda a: F.when(a > 0, area(clip(ring, x0, y0, x1, y1)) / a * 100).otherwise(0.0))
+    """Share of the ring's area inside a box, in percent; zero for a ring without area. A ring whose bounds are inside
+    the box is not clipped."""
+
+    def share(a: Column) -> Column:
+        b = bounds(ring)
+        whole = (b["x0"] >= x0) & (b["x1"] <= x1) & (b["y0"] >= y0) & (b["y1"] <= y1)
+        return F.when(a <= 0, 0.0).when(whole, 100.0).otherwise(area(clip(ring, x0, y0, x1, y1)) / a * 100)
+
+    return let(area(ring), share)
 
 
 def clamp(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

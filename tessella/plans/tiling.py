@@ -229,7 +229,8 @@ def polygon_coverage(spark, sf_dir):
     tiles = grid.training_grid(slides(spark), TILE, TILE).drop("width", "height")
     pairs = grid.box_join(polygons(spark, sf_dir), tiles, TILE, inclusive=False, keys=("slide",), small_tiles=N_TILES)
     cov = g.coverage_pct(F.col("ring"), *(F.col(c).cast("double") for c in ("tx0", "ty0", "tx1", "ty1")))
-    return pairs.select("slide", "gid", "tile_idx", F.round(cov, 4).alias("coverage")).filter("coverage > 0")
+    # A filter would be pushed below the projection and compute the share twice.
+    return pairs.select("slide", "gid", "tile_idx", F.explode(F.filter(F.array(F.round(cov, 4)), lambda c: c > 0)).alias("coverage"))
 
 
 def _clip_sql(source: str, name: str, axis: int, bound: str, sign: str) -> str:
