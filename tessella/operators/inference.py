@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.scalars import argmax, pad_box, softmax, tile_to_native
 from ..runtime import ship
-from .raster import color_transfer, resize
+from .raster import color_transfer, resize, resize_nearest, separate
 
 EPS = 1e-6
 
@@ -51,6 +51,39 @@ def predict(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], data: str,
     return df.mapInArrow(run, schema)
 
 
+INSTANCE = "label int, area bigint, x_min int, y_min int, x_max int, y_max int"
+
+
+def segment(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], keys: list[str], data: str, height: str, width: str, side: int = 288, least: int = 1500, threshold: float = 0.5) -> DataFrame:
+    """(keys, instance columns): objects of each tile. The model maps (n, 3, side, side) to (n, side, side) logits.
+
+    A pixel is set if the sigmoid of its logit is over threshold; masks go back to the tile's size by nearest pixels,
+    touching objects are separated, and those of under least pixels go. A tile that can't be read gives none.
+    """
+    ship(df.sparkSession)
+    slim = df.select(*keys, F.col(data).alias("__data"), F.col(height).alias("__h"), F.col(width).alias("__w"))
+    schema = StructType([*df.select(*keys).schema.fields, *StructType.fromDDL(INSTANCE).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken, found = [], []
+            columns = zip(*(batch.column(c).to_pylist() for c in ("__data", "__h", "__w")), strict=True)
+            for i, (raw, h, w) in enumerate(columns):
+                if raw is None or not h or not w or len(raw) != h * w * 3:
+                    continue
+                logits = model(preprocess(np.frombuffer(raw, np.uint8), h, w, side)[None])[0]
+                label = separate(resize_nearest(1 / (1 + np.exp(-logits)) > threshold, h, w))
+                for k in range(1, label.max() + 1):
+                    ys, xs = np.nonzero(label == k)
+                    if len(ys) >= least:
+                        taken.append(i)
+                        found.append((k, len(ys), xs.min(), ys.min(), xs.max(), ys.max()))
+            made = [pa.array([int(f[j]) for f in found], t) for j, t in enumerate((pa.int32(), pa.int64(), *[pa.int32()] * 4))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(taken, pa.int64())) for c in keys), *made], names=schema.names)
+
+    return slim.mapInArrow(run, schema)
+
+
 def classified(df: DataFrame, logits: str, names: tuple[str, ...]) -> DataFrame:
     """df with class_id, class and confidence; the first of equal scores wins."""
     p = softmax(F.col(logits))

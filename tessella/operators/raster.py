@@ -165,6 +165,42 @@ def crop_square(a: np.ndarray, side: int, cap: int = 2048) -> np.ndarray:
     return resize(a, side, side)
 
 
+def saturation(rgb: np.ndarray) -> np.ndarray:
+    """HSV saturation (0 to 255) of an RGB image."""
+    top, low = rgb.max(axis=2).astype(np.float64), rgb.min(axis=2)
+    return np.rint(np.divide((top - low) * 255, top, out=np.zeros_like(top), where=top > 0)).astype(np.uint8)
+
+
+def median(a: np.ndarray, side: int = 7) -> np.ndarray:
+    """Median of side x side windows, the edge repeated."""
+    padded = np.pad(a, side // 2, mode="edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(padded, (side, side)), axis=(2, 3)).astype(a.dtype)
+
+
+def otsu_threshold(values: np.ndarray) -> int:
+    """The threshold of otsu() for one array of bytes."""
+    n = np.bincount(values.ravel(), minlength=256).astype(np.float64)
+    w0, s0 = np.cumsum(n), np.cumsum(n * np.arange(256))
+    w1 = w0[-1] - w0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = np.where((w0 > 0) & (w1 > 0), w0 * w1 * (s0 / w0 - (s0[-1] - s0) / w1) ** 2, -1.0)
+    return int(between.argmax())
+
+
+def tissue_mask(rgb: np.ndarray, factor: int = 20) -> np.ndarray:
+    """Mask (0 or 255) of a shrunken image: smoothed saturation over its Otsu threshold."""
+    h, w = max(1, rgb.shape[0] // factor), max(1, rgb.shape[1] // factor)
+    smooth = median(saturation(resize(rgb, h, w)))
+    return np.where(smooth > otsu_threshold(smooth), 255, 0).astype(np.uint8)
+
+
+def box_mask(height: int, width: int, y0: int, x0: int, y1: int, x1: int) -> np.ndarray:
+    """Mask (0 or 255) of a filled box; ends are exclusive."""
+    out = np.zeros((height, width), np.uint8)
+    out[y0:y1, x0:x1] = 255
+    return out
+
+
 def extract_tile(image: np.ndarray, x: int, y: int, size: int, fill: int = 255) -> np.ndarray:
     """A size x size x 3 tile from a grey, RGB or RGBA image; beyond the edge it is filled. Alpha is dropped."""
     rgb = np.repeat(image[:, :, None], 3, axis=2) if image.ndim == 2 else image[:, :, :3]

@@ -75,6 +75,11 @@ def shared_groups(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).intersect(b.select(column))
 
 
+def shared_split(spark: SparkSession, a: DataFrame, b: DataFrame, column: str, **sizes) -> DataFrame:
+    """(column, split) of the groups that both datasets have."""
+    return permutation_frame(spark, shared_groups(a, b, column), column, **sizes)
+
+
 def available(splits: DataFrame, present: DataFrame, column: str) -> DataFrame:
     """Members of a split that a dataset has."""
     return splits.join(present, column, "left_semi")

@@ -47,3 +47,14 @@ def complete_biopsies(files: DataFrame, folder: str) -> DataFrame:
     parts = files.withColumn("__p", F.split(F.regexp_replace("path", rf"^.*?{folder.rstrip('/')}/", ""), "/"))
     kinds = parts.groupBy(F.get("__p", F.lit(0)).alias("biopsy")).agg(F.count_if(F.get("__p", F.lit(1)) == "images").alias("images"), F.count_if(F.get("__p", F.lit(1)) == "masks").alias("masks"))
     return kinds.filter("images > 0 AND masks > 0")
+
+
+def info(decoded: DataFrame, mpp: float = 0.5) -> DataFrame:
+    """(path, width, height, mpp): plain images carry no resolution, so mpp is the default."""
+    return decoded.select("path", "width", "height", F.lit(mpp).alias("mpp"))
+
+
+def of_formats(files: DataFrame, allowed: tuple[str, ...] | None) -> DataFrame:
+    """Files of the allowed extensions; None allows all."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return files if allowed is None else files.filter(ext.isin(*(a.lower() for a in allowed)))

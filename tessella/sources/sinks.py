@@ -82,6 +82,26 @@ def annotations_documents(registry: DataFrame, by: str = "slide") -> DataFrame:
     return doc.select(by, F.to_json(F.struct("*")).alias("json"))
 
 
+def manifest_documents(features: DataFrame, by: str, index: str, entry: Column) -> DataFrame:
+    """(by, json): entries of each slide by their four-digit index."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.format_string("%04d", F.col(index)).alias("key"), entry.alias("value")))))
+    return features.groupBy(by).agg(pairs.alias("features")).select(by, F.to_json(F.struct("features")).alias("json"))
+
+
+def index_documents(pairs: DataFrame, by: str, gid: str, tile: str) -> DataFrame:
+    """(by, json): tiles of each object and objects of each tile."""
+    by_gid = pairs.groupBy(by, gid).agg(F.array_sort(F.collect_list(tile)).alias("tiles"))
+    by_tile = pairs.groupBy(by, tile).agg(F.array_sort(F.collect_list(gid)).alias("gids"))
+    left = by_gid.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(gid).alias("gid"), "tiles"))).alias("glomeruli"))
+    right = by_tile.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(tile).cast("string").alias("k"), "gids")))).alias("tile_to_glomeruli"))
+    return left.join(right, by).select(by, F.to_json(F.struct("glomeruli", "tile_to_glomeruli")).alias("json"))
+
+
+def read_documents(spark, folder: str, schema: str) -> DataFrame:
+    """JSON documents of write_documents with an explicit schema."""
+    return spark.read.text(folder).select("*", F.from_json("value", schema).alias("doc")).drop("value")
+
+
 def write_documents(docs: DataFrame, folder: str, by: str, column: str = "json") -> None:
     """JSON documents as text, a folder for each group; the committer's _SUCCESS marks completion."""
     docs.select(by, F.col(column).alias("value")).write.mode("overwrite").partitionBy(by).text(folder)

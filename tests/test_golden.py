@@ -207,6 +207,39 @@ def test_components_and_separation():
     assert raster.separate(np.zeros((20, 20), bool)).max() == 0
 
 
+def test_tissue_mask():
+    image = np.full((400, 400, 3), 240, np.uint8)
+    image[100:300, 100:300] = (200, 60, 120)
+    mask = raster.tissue_mask(image, 20)
+    assert mask.shape == (20, 20) and mask[10, 10] == 255 and mask[1, 1] == 0 and 80 <= (mask > 0).sum() <= 120
+    assert raster.otsu_threshold(np.array([0, 0, 200, 201], np.uint8)) == 0
+    assert raster.box_mask(4, 5, 1, 2, 3, 4).sum() == 4 * 255
+
+
+def test_segmentation_of_tiles(spark):
+    yy, xx = np.mgrid[:96, :96]
+    disc = (yy - 40) ** 2 + (xx - 50) ** 2 < 500
+    image = np.where(disc[:, :, None], (200, 30, 90), (120, 180, 160)).astype(np.uint8)
+    df = spark.createDataFrame([("t1", bytearray(image.tobytes()), 96, 96), ("t2", None, 96, 96)], "tile string, data binary, h int, w int")
+    found = inference.segment(df, lambda batch: 10 * batch[:, 0], ["tile"], "data", "h", "w", side=96, least=100).collect()
+    assert [r.tile for r in found] == ["t1"] and found[0].area == pytest.approx(disc.sum(), rel=0.1)
+    assert abs(found[0].x_min - 28) <= 3 and abs(found[0].y_max - 62) <= 3
+
+
+def test_index_and_manifest_documents(spark, tmp_path):
+    pairs = spark.createDataFrame([("s", 1, "a"), ("s", 1, "b"), ("s", 2, "b")], "slide string, gid int, tile string")
+    doc = json.loads(sinks.index_documents(pairs, "slide", "gid", "tile").first().json)
+    assert doc == {"glomeruli": [{"gid": 1, "tiles": ["a", "b"]}, {"gid": 2, "tiles": ["b"]}], "tile_to_glomeruli": {"a": [1], "b": [1, 2]}}
+    made = sinks.manifest_documents(pairs.filter("tile = 'b'"), "slide", "gid", F.struct("tile"))
+    sinks.write_documents(made, str(tmp_path / "m"), "slide")
+    back = sinks.read_documents(spark, str(tmp_path / "m"), "features map<string,struct<tile:string>>").first()
+    assert {k: v.tile for k, v in back.doc.features.items()} == {"0001": "b", "0002": "b"} and back.slide == "s"
+    both = splits.shared_split(spark, pairs.select("tile"), pairs.filter("gid = 2").select("tile"), "tile")
+    assert [tuple(r) for r in both.collect()] == [("b", "train")]
+    files = spark.createDataFrame([("a/x.TIF",), ("a/y.png",)], "path string")
+    assert images.of_formats(files, (".tif",)).count() == 1 and images.of_formats(files, None).count() == 2
+
+
 def test_config_layers(tmp_path):
     (tmp_path / "c.yaml").write_text("tile_size: 512\ntissue_filter:\n  bg_threshold: 9.5\nother: 1\n")
     c = TilingConfig.from_yaml(str(tmp_path / "c.yaml"), zoom_scale=0.25, stride=None)
