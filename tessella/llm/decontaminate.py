@@ -58,35 +58,56 @@ def _positions(docs: DataFrame, k: int) -> DataFrame:
     return each.drop("__word").filter(F.col("pos") <= F.size("ws") - k).withColumn("key", _key("ws", F.col("pos"), k))
 
 
-def matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
+def _inside(n: Column) -> Column:
+    """Positional and length bounds of a candidate."""
+    return (F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("m") <= n)
+
+
+def _by_broadcast(docs: DataFrame, prefix: DataFrame, own: list[str], k: int) -> DataFrame:
+    """Candidates are verified where they are found, beside the document's words."""
+    at = F.col("pos") - F.col("off")
+    exact = reduce(lambda c, i: c & ((F.lit(i) >= F.col("m")) | (F.get("ws", at + i) == F.get("w", F.lit(i)))), range(WINDOW), F.lit(True))
+    found = _positions(docs, k).join(F.broadcast(prefix), "key").filter(_inside(F.size("ws")) & exact)
+    return found.select(*own, at.alias("start"), "m", "wid")
+
+
+def _by_shuffle(docs: DataFrame, prefix: DataFrame, own: list[str], k: int) -> DataFrame:
+    """For benchmarks too large to broadcast: positions are shuffled as hashes without any words, candidates go back to
+    their document once, and only the words under a candidate are compared with the window's."""
+    slim = _positions(docs, k).select(*own, "pos", F.size("ws").alias("n"), "key")
+    found = slim.join(prefix.select("key", "wid", "off", "m"), "key").filter(_inside(F.col("n")))
+    per = found.groupBy(*own).agg(F.collect_set(F.struct((F.col("pos") - F.col("off")).alias("start"), "m", "wid")).alias("c"))
+    per = per.select(*[F.col(c).alias(f"__{c}") for c in own], "c")
+    same = reduce(lambda x, y: x & y, [docs[c].eqNullSafe(per[f"__{c}"]) for c in own])
+    told = docs.join(per, same).select(*own, "ws", F.explode("c").alias("c")).select(*own, "c.start", "c.m", "c.wid", F.slice("ws", F.col("c.start") + 1, F.col("c.m")).alias("got"))
+    return told.join(prefix.select("wid", "w"), "wid").filter("got = w").select(*own, "start", "m", "wid")
+
+
+def matches(docs: DataFrame, wins: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs' columns (ws but for) with start, m and wid for every place where a window's words stand in ws."""
     wins = cut_lineage(wins.select("w", "wid").distinct())
     count, kinds = wins.count(), [r[0] for r in wins.select(F.least(F.size("w"), F.lit(SHINGLE))).distinct().collect()]
-    small = F.broadcast if count <= BROADCAST_WINDOWS else (lambda df: df)
-    out = []
+    small, out = count <= broadcast_windows, []
+    own = [c for c in docs.columns if c != "ws"]
     for k in sorted(kinds):
         grams = _shingles(wins, k)
         wanted = grams.select("key").distinct()
-        freq = _positions(docs.select("ws"), k).select("key").join(small(wanted), "key").groupBy("key").agg(F.count("*").alias("n"))
+        freq = _positions(docs.select("ws"), k).select("key").join(F.broadcast(wanted) if small else wanted, "key").groupBy("key").agg(F.count("*").alias("n"))
         ranked = grams.join(cut_lineage(freq), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         first = ranked.groupBy("wid").agg(F.min_by(F.struct("w", "off", "key", "n"), F.struct("n", "off")).alias("p"))
         prefix = cut_lineage(first.filter("p.n > 0").select("wid", "p.w", "p.off", "p.key").withColumn("m", F.size("w")))
-        start = (F.col("pos") - F.col("off")).alias("start")
-        inside = (F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("m") <= F.size("ws"))
-        exact = reduce(lambda c, i: c & ((F.lit(i) >= F.col("m")) | (F.get("ws", F.col("pos") - F.col("off") + i) == F.get("w", F.lit(i)))), range(WINDOW), F.lit(True))
-        own = [c for c in docs.columns if c != "ws"]
-        out.append(_positions(docs, k).join(small(prefix), "key").filter(inside & exact).select(*own, start, "m", "wid"))
+        out.append((_by_broadcast if small else _by_shuffle)(docs, prefix, own, k))
     return reduce(DataFrame.unionByName, out) if out else docs.drop("ws").limit(0).selectExpr("*", "0 AS start", "0 AS m", "0L AS wid")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(id, digest, n_hit, items) for documents with a hit; digest (a hash of the text) tells rows that share an id apart.
 
     Repeated rows are one row here and match each of themselves when joined back. A null id is an id of its own.
     """
     wins = cut_lineage(windows(benchmark, item_col))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), words(text_col).alias("ws"))
-    places = matches(keyed, wins)
+    places = matches(keyed, wins, broadcast_windows)
     named = places.join(wins.select("wid", "item"), "wid")
     per = named.groupBy("id", "digest").agg(F.collect_set(F.struct("start", "m")).alias("spans"), F.collect_set(F.col("item").cast("string")).alias("items"))
     step = "named_struct('upto', greatest(a.upto, s.start + s.m), 'n', a.n + greatest(0, s.start + s.m - greatest(a.upto, s.start)))"
