@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
+
 MIN_COVERAGE = 60.0
 
 
@@ -57,6 +59,18 @@ def sequential_id(slide: str, *order: str) -> Column:
     return F.row_number().over(Window.partitionBy(slide).orderBy(*order)) - 1
 
 
+def dense_ids(df: DataFrame, group: str, order: list[str], name: str, parts: int) -> DataFrame:
+    """df with sequential_id() for groups of any size: rows are dealt by ranges of (group, order), so that a large group
+    is spread over many tasks; an id is the place inside its range plus the rows of the group's ranges before it."""
+    placed = cut_lineage(df.repartitionByRange(parts, group, *order).withColumn("__p", F.spark_partition_id()))
+    sizes = placed.groupBy(group, "__p").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(before, F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy(group, "__p").orderBy(*order)) - 1
+    joined = placed.withColumn("__place", place).join(first, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return joined.withColumn(name, (F.col("__first") + F.col("__place")).cast("bigint")).drop("__p", "__q", "__g", "__first", "__place")
+
+
 def inverted(pairs: DataFrame, by: list[str], item: Column, name: str) -> DataFrame:
     """Sorted items of each group."""
     return pairs.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias(name))

@@ -295,12 +295,13 @@ SLIDE_BOUNDS = f"WITH ann AS ({ANN_SQL}) SELECT slide, min(x0) AS x0, min(y0) AS
 
 
 def object_ids(spark, sf_dir):
-    """Dense ids from 0 within each slide, and default names by ordinal."""
-    a = annotations(spark, sf_dir).withColumn("id", assign.sequential_id("slide", "gid"))
+    """Dense ids from 0 within each slide, and default names by ordinal; a slide may hold any share of the rows."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = assign.dense_ids(annotations(spark, sf_dir).select("slide", "gid"), "slide", ["gid"], "id", parts)
     return a.select("slide", "gid", "id", F.concat(F.lit("glomeruli_"), (F.col("id") + 1).cast("string")).alias("name"))
 
 
-OBJECT_IDS = f"WITH ann AS ({ANN_SQL}), i AS (SELECT slide, gid, CAST(row_number() OVER (PARTITION BY slide ORDER BY gid) - 1 AS INTEGER) AS id FROM ann) SELECT slide, gid, id, 'glomeruli_' || (id + 1) AS name FROM i"
+OBJECT_IDS = f"WITH ann AS ({ANN_SQL}), i AS (SELECT slide, gid, CAST(row_number() OVER (PARTITION BY slide ORDER BY gid) - 1 AS BIGINT) AS id FROM ann) SELECT slide, gid, id, 'glomeruli_' || (id + 1) AS name FROM i"
 
 
 def event_props(spark, sf_dir):

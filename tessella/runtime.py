@@ -1,4 +1,4 @@
-"""Makes this package importable by Python workers, wherever they run."""
+"""Sends this package to Python workers and cuts lineage in the shared folder."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,3 +28,20 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     sc.addPyFile(path)
     sc._tessella_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder of this process only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
+    if folder is None:
+        folder = _own["dir"] = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

@@ -69,10 +69,17 @@ def feature(ring: Column, properties: Column) -> Column:
     return F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))
 
 
-def feature_collections(features: DataFrame, by: str, order: str, column: str = "feature") -> DataFrame:
-    """(by, json): one FeatureCollection for each group, features in order."""
+#: Features of one document at most, about: larger groups are written as several documents.
+PER_DOCUMENT = 100_000
+
+
+def feature_collections(features: DataFrame, by: str, order: str, column: str = "feature", per_document: int = PER_DOCUMENT) -> DataFrame:
+    """(by, part, json): FeatureCollections of each group, features in order; a group of over per_document features is
+    dealt over several parts by a hash, so that no document grows with the data."""
+    sizes = features.groupBy(F.col(by).alias("__g")).agg(F.ceil(F.count("*") / per_document).alias("__parts"))
+    dealt = features.join(sizes, F.col(by).eqNullSafe(F.col("__g"))).withColumn("part", F.pmod(F.xxhash64(order), F.col("__parts")).cast("int"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("f")))), lambda r: r["f"])
-    return features.groupBy(by).agg(listed.alias("features")).select(by, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("json"))
+    return dealt.groupBy(by, "part").agg(listed.alias("features")).select(by, "part", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("json"))
 
 
 def annotations_documents(registry: DataFrame, by: str = "slide") -> DataFrame:

@@ -292,6 +292,16 @@ def test_tiles_to_files_and_back(spark, tmp_path):
     assert images.complete_biopsies(files, str(tmp_path)).count() == 0
 
 
+def test_dense_ids_of_a_hot_group(spark):
+    rows = [("hot", i) for i in range(900)] + [("b", 5), ("b", 3), (None, 1)]
+    df = spark.createDataFrame(rows, "slide string, gid int").repartition(5)
+    got = {(r.slide, r.gid): r.id for r in assign.dense_ids(df, "slide", ["gid"], "id", 16).collect()}
+    assert got == {("hot", i): i for i in range(900)} | {("b", 3): 0, ("b", 5): 1, (None, 1): 0}
+    f = df.withColumn("feature", F.struct("gid"))
+    parts = sinks.feature_collections(f, "slide", "gid", per_document=100).collect()
+    assert sum(len(json.loads(r.json)["features"]) for r in parts) == 903 and max(len(json.loads(r.json)["features"]) for r in parts) < 200
+
+
 def test_documents_and_splits_on_disk(spark, tmp_path):
     f = sinks.feature(sinks.rectangle(*map(F.lit, (0, 0, 2, 3))), F.struct(F.lit(1).alias("id")))
     row = sinks.feature_collections(spark.range(2).select(F.lit("s").alias("slide"), F.col("id").alias("gid"), f.alias("feature")), "slide", "gid").first()
