@@ -237,3 +237,25 @@ def test_html_comments_and_notices_inside_the_article():
     <nav><a href="#">more</a></nav><p>Last <a href="x">link only</a>.</p></article><div class="newsletter-signup">{prose}</div></div></body>"""
     assert html_extract.extract(page).split("\n") == ["Title", "Of.", prose.strip(), "Last link only."]
     assert html_extract.extract(f"<body><p>{prose}</p><p>{prose}</p><ul><li><a>Home</a><li><a>About</a></ul></body>").split("\n") == [prose.strip()] * 2
+
+
+def test_trie_equals_segmenting_alone():
+    rng = random.Random(6)
+    vocabulary = token_counts.Pieces()
+    marks = ["", "a", "a\x00", "\x00", "é", "日本語", "😀x", "the", "there", "therefore", "th"]
+    words = sorted({token_counts.MARK + w for w in marks + ["".join(rng.choices("theranioé\x00ß", k=rng.randint(1, 30))) for _ in range(400)]})
+    rng.shuffle(words)
+    alone = [token_counts.segment(w, vocabulary.scores, vocabulary.longest, vocabulary.byte_score) for w in words]
+    assert token_counts.trie_counts(words, vocabulary) == alone
+    counter = token_counts.Counter(max_kept=5)
+    texts = ["there the " + "x" * 500, "therefore a", "", "a \x00 a"]
+    assert counter.count(texts) == counter.count(texts) == [(n, sum(token_counts.segment(token_counts.MARK + w, vocabulary.scores, vocabulary.longest, vocabulary.byte_score) for w in t.split())) for t, n in zip(texts, (3, 2, 0, 3), strict=True)]
+
+
+def test_decontamination_by_shuffle_equals_broadcast(spark, docs, benchmark):
+    from tessella.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    for d, b in ((docs, benchmark), (table(spark, sf, "documents"), table(spark, sf, "benchmark"))):
+        small, large = (sorted(decontaminate.hits(d, b, broadcast_windows=n).collect(), key=repr) for n in (10**6, 0))
+        assert small and small == large
