@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..runtime import ship
+from ..runtime import cut_lineage, shared_dir, ship
+
+__all__ = ["append", "buckets_for", "cut_lineage", "id_text", "if_small", "shared_dir", "table"]
 
 #: Bytes of one Arrow batch sent to a Python worker, so that batches of very long texts stay small.
 BATCH_BYTES = "8m"
@@ -20,26 +19,6 @@ BATCH_BYTES = "8m"
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of this process only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
-    if folder is None:
-        folder = _own["dir"] = tempfile.mkdtemp(prefix="tessella-")
-        atexit.register(shutil.rmtree, folder, True)
-    return folder
-
-
-_own: dict[str, str] = {}
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list], ddl: str) -> DataFrame:
     """df with further columns: fn turns each Arrow batch into one array (or list) for each field of ddl."""
     ship(df.sparkSession)
@@ -78,5 +57,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
-    """Hash buckets so that each holds about per_bucket rows: what is sorted together stays bounded."""
-    return max(16, -(-rows // per_bucket))
+    """Hash buckets so that each holds about per_bucket rows at most: what is sorted together stays bounded. At least 512,
+    so that a hot group is dealt over many tasks of a small table too."""
+    return max(512, -(-rows // per_bucket))
