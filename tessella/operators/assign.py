@@ -10,31 +10,30 @@ from ..runtime import cut_lineage
 MIN_COVERAGE = 60.0
 
 
+def _best_two(pairs: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """(keys, carried, __1, __2): the two pairs of largest coverage, ties to the lowest tile_idx. One shuffle by key; what
+    is gathered for a key are the tiles its object meets, bounded by the grid."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("coverage")).alias("c"), F.col("tile_idx").alias("i"))))
+    best = pairs.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carried], order.alias("__o"))
+    return best.withColumn("__1", F.get("__o", F.lit(0))).withColumn("__2", F.get("__o", F.lit(1))).drop("__o")
+
+
 def primary_secondary(objects: DataFrame, pairs: DataFrame, keys: list[str], min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """objects with their best tiles.
+    """objects with their best tiles; those without any pair get a centred tile and no secondary.
 
-    pairs: keys, tile_idx, coverage (over zero). By coverage, then lowest tile_idx: with a best of min_coverage or more
-    the best tile is primary and the next secondary; else a tile centred on the object is primary (its coverage stands
-    at 0 until it is known) and the best is secondary. One aggregation keeps the two best: no sort of a key's tiles.
+    pairs: keys, tile_idx, coverage (over zero). With a best of min_coverage or more the best tile is primary and the next
+    secondary; else a tile centred on the object is primary (its coverage stands at 0 until it is known) and the best is
+    secondary.
     """
-    order = F.struct((-F.col("coverage")).alias("c"), F.col("tile_idx").alias("i"))
-    low = pairs.groupBy(*keys).agg(F.min(order).alias("__1"))
-    rest = pairs.join(low, keys).filter(order > F.col("__1")).groupBy(*keys).agg(F.min(order).alias("__2"))
-    return assign_from(objects.join(low, keys, "left").join(rest, keys, "left"), min_coverage).drop("__1", "__2")
+    return _assign_from(objects.join(_best_two(pairs, keys, []), keys, "left"), min_coverage)
 
 
 def ranked_assignment(pairs: DataFrame, keys: list[str], carried: list[str], min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """As primary_secondary for objects that have a pair at all: one shuffle of pairs by key.
-
-    The two best fit in a bounded aggregate because an object meets few tiles; ties go to the lowest tile_idx.
-    """
-    order = F.struct((-F.col("coverage")).alias("c"), F.col("tile_idx").alias("i"))
-    best = pairs.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carried], F.array_sort(F.collect_list(order)).alias("__o"))
-    two = best.withColumn("__1", F.get("__o", F.lit(0))).withColumn("__2", F.get("__o", F.lit(1)))
-    return assign_from(two, min_coverage).drop("__o", "__1", "__2")
+    """As primary_secondary, without a join, for objects that have a pair at all; carried columns come from the pairs."""
+    return _assign_from(_best_two(pairs, keys, carried), min_coverage)
 
 
-def assign_from(best: DataFrame, min_coverage: float) -> DataFrame:
+def _assign_from(best: DataFrame, min_coverage: float) -> DataFrame:
     """Columns of the assignment from the two best (negative coverage, tile) structs __1 and __2."""
     good = F.coalesce(-F.col("__1.c") >= min_coverage, F.lit(False))
     pick = lambda yes, no: F.when(good, yes).otherwise(no)
@@ -45,6 +44,7 @@ def assign_from(best: DataFrame, min_coverage: float) -> DataFrame:
         .withColumn("primary_coverage", pick(zero(F.col("__1.c")), F.lit(0.0)))
         .withColumn("secondary_tile", pick(F.col("__2.i"), F.col("__1.i")))
         .withColumn("secondary_coverage", pick(zero(F.col("__2.c")), zero(F.col("__1.c"))))
+        .drop("__1", "__2")
     )
 
 
