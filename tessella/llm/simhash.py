@@ -114,7 +114,8 @@ def _hot_links(live: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): connected components by alternating large-star and small-star rounds, root the least node.
 
-    Each round is two joins by key and its result is checkpointed; no node's neighbours are ever gathered in a row.
+    Each round is two joins by key; no node's neighbours are ever gathered in a row. Results are checkpointed, also those of
+    the aggregates, so that both sides of each join are plain exchanges and AQE can split a hub's edges.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
     now, before = cut_lineage(now), None
@@ -126,10 +127,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             )
         before = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        floor = small.groupBy("u").agg(F.min("v").alias("m"))
+        small = cut_lineage(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        floor = cut_lineage(small.groupBy("u").agg(F.min("v").alias("m")))
         linked = small.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = cut_lineage(linked.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
 
@@ -144,10 +145,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut_lineage(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__id", "__t", shingle))
     reps = fps.groupBy("fp").agg(F.min("__id").alias("rep"))
     found = components(links(reps.select("fp"), hot))
-    rooted = reps.join(found.select(F.col("node").alias("fp"), "root"), "fp")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+    # Lineage is cut so that both sides of the joins on root and fp are plain exchanges, whose hot keys AQE can split.
+    rooted = cut_lineage(reps.join(found.select(F.col("node").alias("fp"), "root"), "fp"))
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("rep").alias("least")))
     moved = rooted.join(least, "root").select("fp", "least")
-    # Lineage is cut so that both sides of the last join are plain exchanges, whose hot fingerprints AQE can split.
     names = cut_lineage(reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
     return fps.join(names, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
