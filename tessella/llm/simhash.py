@@ -30,7 +30,16 @@ MATCHES = 6
 KEY_BYTES = 5
 HOT = 128
 SEED = 42
+#: Near copies of the pipeline's stage: shingle words, least Jaccard similarity, bands of minimum hashes, the agreeing
+#: minimum hashes a candidate needs (a pair of similarity 0.8 has 128 on average, under 100 with probability 1e-7).
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 32, 5
+AGREE = 100
+PIVOTS = 2
 _LANES = np.uint64(0x0101010101010101)
+_FACTORS, _TERMS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+_FACTORS |= np.uint64(1)
 
 
 def position_sets(key_bytes: int = KEY_BYTES, differing: int = 2) -> list[tuple[int, ...]]:
@@ -43,16 +52,20 @@ def position_sets(key_bytes: int = KEY_BYTES, differing: int = 2) -> list[tuple[
     return sets
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits: a bit is one if it is set in over half of the shingle hashes. No word: zero."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the shingles in order; fewer words than a shingle has are one shingle. No word: none."""
     if len(words) < shingle:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    h = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64 bits: a bit is one if it is set in over half of the shingle hashes. No word: zero."""
+    h = _hashes((text or "").encode().lower().split(), shingle)
+    if not len(h):
+        return 0
     # Eight 8-bit lanes at a time: a block of 255 hashes can't overflow a lane.
     blocks, out = np.arange(0, len(h), 255), 0
     for shift in range(8):
@@ -143,14 +156,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     non-null id (null if there is none). Empty table: no rows. Other columns are ignored, whatever their names.
     """
     fps = cut_lineage(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__id", "__t", shingle))
-    reps = fps.groupBy("fp").agg(F.min("__id").alias("rep"))
-    found = components(links(reps.select("fp"), hot))
-    # Lineage is cut so that both sides of the joins on root and fp are plain exchanges, whose hot keys AQE can split.
-    rooted = cut_lineage(reps.join(found.select(F.col("node").alias("fp"), "root"), "fp"))
+    found = components(links(fps.select("fp").distinct(), hot))
+    return _named(fps, found, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+
+def _named(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows (__id, key, ...) with component_id, the least id of the component that found (node, root) gives their key."""
+    reps = rows.groupBy(key).agg(F.min("__id").alias("rep"))
+    # Lineage is cut so that both sides of the joins on root and key are plain exchanges, whose hot keys AQE can split.
+    rooted = cut_lineage(reps.join(found.select(F.col("node").alias(key), "root"), key))
     least = cut_lineage(rooted.groupBy("root").agg(F.min("rep").alias("least")))
-    moved = rooted.join(least, "root").select("fp", "least")
-    names = cut_lineage(reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
-    return fps.join(names, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+    moved = rooted.join(least, "root").select(key, "least")
+    names = cut_lineage(reps.join(moved, key, "left").select(key, F.coalesce("least", "rep").alias("component_id")))
+    return rows.join(names, key)
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minimum hashes of a set of shingle hashes."""
+    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 512):
+        np.minimum(out, (hashes[i : i + 512, None] * _FACTORS + _TERMS).min(axis=0), out=out)
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets, each without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
+    """(__id, key, bands, sig, hashes): a digest of the words, band codes, one byte of each minimum hash, shingle set."""
+
+    def kernel(batch: pa.RecordBatch) -> list:
+        keys, bands, sigs, sets = [], [], [], []
+        for text in batch.column("__text").to_pylist():
+            words = (text or "").encode().lower().split()
+            hashes = np.unique(_hashes(words, shingle))
+            sig = signature(hashes)
+            raw = sig.tobytes()
+            keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            bands.append([xxhash.xxh64_intdigest(raw[i : i + 8 * ROWS], i) - (1 << 63) for i in range(0, len(raw), 8 * ROWS)])
+            sigs.append((sig >> np.uint64(48)).astype(np.uint8).tobytes())
+            sets.append(hashes.tobytes())
+        return [keys, bands, sigs, sets]
+
+    return append(id_text(docs, "__id", "__t"), kernel, "key binary, bands array<bigint>, sig binary, hashes binary").drop("__text")
+
+
+def _alike(pairs: DataFrame, facts: DataFrame, col: str, keep) -> DataFrame:
+    """The pairs (a, b) whose values of col pass keep."""
+    x = facts.select(F.col("key").alias("a"), F.col(col).alias("x"))
+    y = facts.select(F.col("key").alias("b"), F.col(col).alias("y"))
+
+    def kernel(batch: pa.RecordBatch) -> list:
+        return [[keep(p, q) for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]]
+
+    return append(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), kernel, "ok boolean").filter("ok").select("a", "b")
+
+
+def _enough(x: bytes, y: bytes) -> bool:
+    return int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= AGREE
+
+
+def _verified(x: bytes, y: bytes) -> bool:
+    return similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILARITY
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, rounds: int = PIVOTS) -> DataFrame:
+    """(id, key, component_id) for every row: components of "Jaccard similarity of shingle sets is at least SIMILARITY".
+
+    Minimum hashes are indexed by bands of ROWS; texts that share a band are candidates. Candidates that agree in AGREE
+    minimum hashes are verified by their whole shingle sets, so no pair below the bound is linked; a pair of similarity
+    0.8 shares no band with probability 3e-6. Equal words collapse before anything is paired. In the first rounds each
+    band list is compared with one member of it, then all pairs of a list that aren't in one component yet are, so that
+    nothing is capped and lists of a large group are linked before they are paired.
+    """
+    made = cut_lineage(_described(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), shingle))
+    one = made.select("key", "bands").dropDuplicates(["key"])
+    posts = one.select("key", F.posexplode("bands").alias("band", "code"))
+    shared = posts.groupBy("band", "code").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    live = cut_lineage(posts.join(shared, ["band", "code"]).withColumn("c", F.col("key")))
+    wanted = live.select("key").distinct()
+    facts = cut_lineage(made.select("key", "sig", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    stars = None
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            mark = F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), F.col("key").alias("k"), F.col("c").alias("kc"))
+            lists = cut_lineage(live.groupBy("band", "code").agg(F.min(mark).alias("p")))
+            found = live.join(lists, ["band", "code"]).filter("c <> p.kc").select(F.col("key").alias("u"), F.col("p.k").alias("v"))
+        else:
+            found = live.select("band", "code", F.col("key").alias("u"), F.col("c").alias("uc")).join(live.select("band", "code", F.col("key").alias("v"), F.col("c").alias("vc")), ["band", "code"]).filter("u < v and uc <> vc")
+        pairs = cut_lineage(found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+        near = cut_lineage(_alike(_alike(pairs, facts, "sig", _enough), facts, "hashes", _verified))
+        stars = cut_lineage(components(near if stars is None else near.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        if turn < rounds:
+            live = live.drop("c").join(stars.select(F.col("node").alias("key"), "root"), "key", "left").select("band", "code", "key", F.coalesce("root", "key").alias("c"))
+            several = live.groupBy("band", "code").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band", "code")
+            live = cut_lineage(live.join(several, ["band", "code"]))
+    return _named(made.select("__id", "key"), stars, "key").select(F.col("__id").alias(id_col), "key", "component_id")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -159,12 +262,12 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the least id.
 
     Of rows that repeat that id, the one with the least text stays. Rows without an id can't be named by a link and
     stay. Only ids are joined back; texts are shuffled for repeated ids alone.
     """
-    found = cut_lineage(near_duplicates(docs.select("doc_id", "text")))
+    found = cut_lineage(near_copies(docs.select("doc_id", "text")))
     repeated = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__tessella_id")).count().filter("count > 1").select("__tessella_id")
     copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__tessella_id")).distinct()
     repeated, copies = cut_lineage(repeated), cut_lineage(copies)

@@ -259,3 +259,21 @@ def test_decontamination_by_shuffle_equals_broadcast(spark, docs, benchmark):
     for d, b in ((docs, benchmark), (table(spark, sf, "documents"), table(spark, sf, "benchmark"))):
         small, large = (sorted(decontaminate.hits(d, b, broadcast_windows=n).collect(), key=repr) for n in (10**6, 0))
         assert small and small == large
+
+
+def test_stage_drops_planted_near_copies(spark):
+    """Every pair of five-word similarity 0.8 or more is one group, and none below it that no other text links."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    texts, near = [], []
+    for n, edits in [(n, e) for n in (60, 100, 149, 400, 800) for e in (1, 2, 3, 8) for _ in range(10)]:
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), edits):
+            b[at] = word()
+        x, y = ({tuple(t[i : i + 5]) for i in range(n - 4)} for t in (a, b))
+        near.append(len(x & y) / len(x | y) >= 0.8)
+        texts += [" ".join(a), " ".join(b).upper()]
+    assert 50 < sum(near) < len(near) - 10
+    kept = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "").collect()}
+    assert kept == {i for i in range(len(texts)) if i % 2 == 0 or not near[i // 2]}
