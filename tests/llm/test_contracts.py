@@ -247,3 +247,13 @@ def test_pipeline_equals_brute_force(spark, result):
         assert r["ids_crc32"] == zlib.crc32(raw[4 * r["start"] : 4 * (r["start"] + r["length"])])
         got[r["doc_id"]] += r["length"]
     assert all(got[i] == want[i][1] for i in kept)
+
+
+def test_op7_ids_of_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    samples = ["<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "<|EndOfText|> <|endoftext|>é", "", *texts().values()]
+    assert [encode(t) for t in samples] == [tok.encode(t, add_special_tokens=False).ids for t in samples]
