@@ -29,6 +29,12 @@ NOTICES = {
     "licensed under the apache license version 2 0": "apache-2.0",
     "redistribution and use in source and binary forms": "bsd",
     "licensed under the bsd 3 clause license": "bsd",
+    "released under the bsd license": "bsd",
+    "licensed under the bsd license": "bsd",
+    "released under the isc license": "isc",
+    "licensed under the isc license": "isc",
+    "released under the gpl license": "gpl",
+    "licensed under the gpl license": "gpl",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
@@ -39,6 +45,9 @@ NOTICES = {
     "creative commons attribution": "cc-by",
     "licensed under cc by nc": "cc-by-nc",
     "licensed under cc by sa": "cc-by-sa",
+    "licensed under cc by nd": "cc-by-nd",
+    "licensed under cc by nc sa": "cc-by-nc-sa",
+    "licensed under cc by nc nd": "cc-by-nc-nd",
     "released into the public domain": "public-domain",
     "dedicated to the public domain": "public-domain",
     "this is free and unencumbered software": "unlicense",
@@ -47,6 +56,9 @@ NOTICES = {
 #: One edit is allowed for every EDIT_CHARS characters of a notice, three at most.
 EDIT_CHARS = 10
 MAX_EDITS = 3
+#: Words that tell notices apart. A span has each of its notice's among its whole words: exactly, or from six letters on
+#: within one edit.
+TELLING = frozenset("mit bsd isc gpl apache 2 lesser affero general mozilla eclipse cc by nc sa nd commons attribution".split())
 
 
 def edit_bound(phrase: str) -> int:
@@ -59,6 +71,48 @@ def seeds(phrase: str, k: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether at most one insertion, deletion or substitution turns a into b."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
+
+
+def _told(norm: str, start: int, end: int, telling: tuple[str, ...]) -> bool:
+    """Whether the whole words under a span have the telling words of its notice."""
+    while start < end and norm[start] == " ":
+        start += 1
+    while end > start and norm[end - 1] == " ":
+        end -= 1
+    stop = norm.find(" ", end)
+    words = norm[norm.rfind(" ", 0, start) + 1 : stop if stop >= 0 else len(norm)].split()
+    return all(t in words or (len(t) > 5 and any(_one_edit(t, w) for w in words)) for t in telling)
+
+
+def _best(found: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int, str, int]]:
+    """Of spans that overlap, the one whose notice has most characters less edits (twice counted) stays."""
+    out: list[tuple[int, int, str, int]] = []
+    group: list[tuple[int, int, str, int, int]] = []
+
+    def close() -> None:
+        taken: list[tuple[int, int, str, int]] = []
+        for a, b, label, edits, _ in sorted(group, key=lambda x: (2 * x[3] - x[4], x)):
+            if all(b <= c or d <= a for c, d, *_ in taken):
+                taken.append((a, b, label, edits))
+        out.extend(taken)
+        group.clear()
+
+    reach = 0
+    for x in sorted(found):
+        if x[0] >= reach:
+            close()
+        group.append(x)
+        reach = max(reach, x[1])
+    close()
+    return sorted(set(out))
+
+
 @lru_cache(maxsize=4)
 def _index(notices: tuple[tuple[str, str], ...]):
     import ahocorasick
@@ -68,7 +122,7 @@ def _index(notices: tuple[tuple[str, str], ...]):
     compiled = []
     for n, (phrase, label) in enumerate(notices):
         k = edit_bound(phrase)
-        compiled.append((regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={k}}}"), label, len(phrase), k))
+        compiled.append((regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={k}}}"), label, len(phrase), k, tuple(w for w in phrase.split() if w in TELLING)))
         for offset, part in seeds(phrase, k):
             at.setdefault(part, []).append((n, offset))
     for part, places in at.items():
@@ -80,13 +134,14 @@ def _index(notices: tuple[tuple[str, str], ...]):
 def fuzzy(norm: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items())) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) of the notices in a normalised text, by start.
 
-    Seeds whose windows overlap are searched together; a window's non-overlapping best matches are reported.
+    Seeds whose windows overlap are searched together; a window's non-overlapping best matches are
+    tested for the notice's telling words, and of notices that overlap the best is reported.
     """
     automaton, compiled = _index(notices)
     zones: dict[int, list[list[int]]] = {}
     for end, (size, places) in automaton.iter(norm):
         for n, offset in places:
-            _, _, length, k = compiled[n]
+            _, _, length, k, _ = compiled[n]
             a = end + 1 - size - offset - k
             mine = zones.setdefault(n, [])
             if mine and a <= mine[-1][1]:
@@ -95,12 +150,15 @@ def fuzzy(norm: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items(
                 mine.append([a, a + length + 2 * k])
     found = []
     for n, mine in zones.items():
-        pattern, label, _, _ = compiled[n]
+        pattern, label, length, _, telling = compiled[n]
         for a, b in mine:
             at, b = max(0, a), min(len(norm), b)
+            if any(len(t) < 6 and norm.find(t, at, b) < 0 for t in telling):
+                continue
             for m in pattern.finditer(norm, at, b):
-                found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-    return sorted(set(found))
+                if _told(norm, m.start(), m.end(), telling):
+                    found.append((m.start(), m.end(), label, sum(m.fuzzy_counts), length))
+    return _best(found)
 
 
 def base_places(norm: str, phrases: dict[str, str] = BASE) -> list[tuple[int, str]]:

@@ -277,3 +277,20 @@ def test_stage_drops_planted_near_copies(spark):
     assert 50 < sum(near) < len(near) - 10
     kept = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "").collect()}
     assert kept == {i for i in range(len(texts)) if i % 2 == 0 or not near[i // 2]}
+
+
+@pytest.mark.parametrize("text,labels", [
+    *((f"{verb} under the {x} license", {x}) for verb in ("licensed", "released") for x in ("mit", "bsd", "gpl", "isc")),
+    ("licenced undr the bsd licence", {"bsd"}),
+    ("licensed under the zlib license", set()),
+    ("licensed under cc by 4 0", {"cc-by"}),
+    ("licenced under cc by nc 4 0", {"cc-by-nc"}),
+    ("licensed under cc by sa 4 0", {"cc-by-sa"}),
+    ("licensed under cc by nc sa 4 0", {"cc-by-nc-sa"}),
+    ("gnu lesser general public license", {"lgpl"}),
+    ("gnu afero general public license", {"agpl"}),
+    ("licensed under the mit license licensed under the bsd license", {"mit", "bsd"}),
+])
+def test_neighbouring_licences(text, labels):
+    for norm in (text, f"so it is {text} and more"):
+        assert {x for _, _, x, _ in licenses.fuzzy(norm)} == labels
