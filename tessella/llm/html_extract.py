@@ -58,10 +58,16 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of a page in order. Unclosed elements end with their container, stray end tags are ignored."""
+    """Blocks of a page in order. Unclosed elements end with their container, stray end tags are ignored.
+
+    A hint word counts for all blocks inside its element, but not if it names what is around the page's article or main:
+    of the articles and mains, those inside the fewest hinted elements are the page's, and only hints inside them count.
+    """
     out: list[Block] = []
-    # Of each open element: name, chrome, hint, content, container number.
-    stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+    # Of each open element: name, chrome, hinted elements around it, content, container number, and the hinted elements
+    # around its outermost article or main (-1: in none).
+    stack: list[tuple[str, bool, int, bool, int, int]] = [("", False, 0, False, 0, -1)]
+    hinted: list[tuple[int, int]] = []
     parts: list[str] = []
     linked = links = heading = 0
     containers, at = 0, 0
@@ -74,7 +80,8 @@ def blocks(page: str) -> list[Block]:
             if text:
                 b = Block()
                 b.text, b.linked, b.heading = text, min(1.0, linked / len(text)), bool(heading)
-                _, b.chrome, b.hint, b.content, b.container = stack[-1]
+                _, b.chrome, level, b.content, b.container, base = stack[-1]
+                hinted.append((level, -1 if b.chrome else base))
                 b.depth = len(stack)
                 out.append(b)
             parts.clear()
@@ -147,7 +154,8 @@ def blocks(page: str) -> list[Block]:
                         break
         if name in VOID or (m[3].endswith("/>") and not block):
             continue
-        _, chrome, hint, content, container = stack[-1]
+        _, chrome, level, content, container, base = stack[-1]
+        hint, around = False, level
         if name == "body":
             chrome = False
         chrome = chrome or name in CHROME
@@ -164,13 +172,19 @@ def blocks(page: str) -> list[Block]:
                     chrome = True
                 elif key == "style" and "display:none" in value.replace(" ", "").lower():
                     chrome = True
+        level += hint
+        if name in CONTENT and base < 0:
+            base = around
         if block and name not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "tr"):
             containers += 1
             container = containers
         links += name == "a"
         heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append((name, chrome, hint, content, container))
+        stack.append((name, chrome, level, content, container, base))
     flush()
+    least = min((base for _, base in hinted if base >= 0), default=-1)
+    for b, (level, base) in zip(out, hinted, strict=True):
+        b.hint = level > (base if base == least and base >= 0 else 0)
     return out
 
 

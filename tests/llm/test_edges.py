@@ -294,3 +294,12 @@ def test_stage_drops_planted_near_copies(spark):
 def test_neighbouring_licences(text, labels):
     for norm in (text, f"so it is {text} and more"):
         assert {x for _, _, x, _ in licenses.fuzzy(norm)} == labels
+
+
+@pytest.mark.parametrize("names", ["layout sidebar-right", "has-sidebar", "no-comments", "legal", "share"])
+def test_html_article_in_a_hinted_wrapper(names):
+    prose = "Long plain sentences of a reader who has much to say about it. " * 9
+    article = f"<article><h1>Title</h1><p>{prose}</p><p>Short end.</p><div class='share'>{prose}</div></article>"
+    other = f"<div class='comments'><article class='comment'><p>{prose}</p></article></div><div class='sidebar'><p>{prose}</p></div>"
+    for page in (f"<div class='{names}'>{article}{other}</div>", f"<div id='{names}'><div class='legal'>{article}</div></div>", f"{article}<div class='{names}'>{article}</div>"):
+        assert html_extract.extract(f"<body>{page}</body>").split("\n") == ["Title", prose.strip(), "Short end."]
