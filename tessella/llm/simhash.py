@@ -31,11 +31,11 @@ KEY_BYTES = 5
 HOT = 128
 SEED = 42
 #: Near copies of the pipeline's stage: shingle words, least Jaccard similarity, bands of minimum hashes, the agreeing
-#: minimum hashes a candidate needs (a pair of similarity 0.8 has 128 on average, under 100 with probability 1e-7).
+#: minimum hashes a candidate needs (a pair of similarity 0.8 has 64 on average, under 44 with probability 1e-7).
 COPY_SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
-AGREE = 100
+BANDS, ROWS = 20, 4
+AGREE = 44
 PIVOTS = 2
 _LANES = np.uint64(0x0101010101010101)
 _FACTORS, _TERMS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
@@ -179,28 +179,36 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets, each without repeats."""
+    """Jaccard similarity of two sets, each without repeats; empty sets are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """(__id, key, bands, sig, hashes): a digest of the words, band codes, one byte of each minimum hash, shingle set."""
+def _sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
+    return [np.unique(_hashes((t or "").encode().lower().split(), shingle)) for t in texts]
+
+
+def _banded(docs: DataFrame, shingle: int) -> DataFrame:
+    """(__id, key, bands): a digest of the text and the codes of its bands."""
 
     def kernel(batch: pa.RecordBatch) -> list:
-        keys, bands, sigs, sets = [], [], [], []
-        for text in batch.column("__text").to_pylist():
-            words = (text or "").encode().lower().split()
-            hashes = np.unique(_hashes(words, shingle))
-            sig = signature(hashes)
-            raw = sig.tobytes()
-            keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+        bands = []
+        for hashes in _sets(batch.column("__t").to_pylist(), shingle):
+            raw = signature(hashes).tobytes()
             bands.append([xxhash.xxh64_intdigest(raw[i : i + 8 * ROWS], i) - (1 << 63) for i in range(0, len(raw), 8 * ROWS)])
-            sigs.append((sig >> np.uint64(48)).astype(np.uint8).tobytes())
-            sets.append(hashes.tobytes())
-        return [keys, bands, sigs, sets]
+        return [bands]
+
+    return append(docs, kernel, "bands array<bigint>").drop("__t")
+
+
+def _facts(texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, sig, hashes): one byte of each minimum hash, and the shingle set."""
+
+    def kernel(batch: pa.RecordBatch) -> list:
+        sets = _sets(batch.column("__t").to_pylist(), shingle)
+        return [[(signature(h) >> np.uint64(48)).astype(np.uint8).tobytes() for h in sets], [h.tobytes() for h in sets]]
 
-    return append(id_text(docs, "__id", "__t"), kernel, "key binary, bands array<bigint>, sig binary, hashes binary").drop("__text")
+    return append(texts, kernel, "sig binary, hashes binary").drop("__t")
 
 
 def _alike(pairs: DataFrame, facts: DataFrame, col: str, keep) -> DataFrame:
@@ -211,7 +219,7 @@ def _alike(pairs: DataFrame, facts: DataFrame, col: str, keep) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> list:
         return [[keep(p, q) for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]]
 
-    return append(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), kernel, "ok boolean").filter("ok").select("a", "b")
+    return append(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y"), kernel, "ok boolean").filter("ok").select("a", "b")
 
 
 def _enough(x: bytes, y: bytes) -> bool:
@@ -227,32 +235,31 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Minimum hashes are indexed by bands of ROWS; texts that share a band are candidates. Candidates that agree in AGREE
     minimum hashes are verified by their whole shingle sets, so no pair below the bound is linked; a pair of similarity
-    0.8 shares no band with probability 3e-6. Equal words collapse before anything is paired. In the first rounds each
+    0.8 shares no band with probability 3e-5. Equal texts collapse before anything is paired. In the first rounds each
     band list is compared with one member of it, then all pairs of a list that aren't in one component yet are, so that
     nothing is capped and lists of a large group are linked before they are paired.
     """
-    made = cut_lineage(_described(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), shingle))
-    one = made.select("key", "bands").dropDuplicates(["key"])
-    posts = one.select("key", F.posexplode("bands").alias("band", "code"))
-    shared = posts.groupBy("band", "code").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    live = cut_lineage(posts.join(shared, ["band", "code"]).withColumn("c", F.col("key")))
-    wanted = live.select("key").distinct()
-    facts = cut_lineage(made.select("key", "sig", "hashes").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("key", F.xxhash64(F.coalesce("__t", F.lit(""))))
+    made = cut_lineage(_banded(texts, shingle))
+    posts = made.select("key", F.explode("bands").alias("code")).distinct()
+    shared = posts.groupBy("code").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("code")
+    live = cut_lineage(posts.join(shared.hint("merge"), "code").withColumn("c", F.col("key")))
+    facts = cut_lineage(_facts(texts.select("key", "__t").join(live.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), shingle))
     stars = None
     for turn in range(rounds + 1):
         if turn < rounds:
             mark = F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), F.col("key").alias("k"), F.col("c").alias("kc"))
-            lists = cut_lineage(live.groupBy("band", "code").agg(F.min(mark).alias("p")))
-            found = live.join(lists, ["band", "code"]).filter("c <> p.kc").select(F.col("key").alias("u"), F.col("p.k").alias("v"))
+            lists = cut_lineage(live.groupBy("code").agg(F.min(mark).alias("p")))
+            found = live.join(lists.hint("merge"), "code").filter("c <> p.kc").select(F.col("key").alias("u"), F.col("p.k").alias("v"))
         else:
-            found = live.select("band", "code", F.col("key").alias("u"), F.col("c").alias("uc")).join(live.select("band", "code", F.col("key").alias("v"), F.col("c").alias("vc")), ["band", "code"]).filter("u < v and uc <> vc")
+            found = live.select("code", F.col("key").alias("u"), F.col("c").alias("uc")).join(live.select("code", F.col("key").alias("v"), F.col("c").alias("vc")).hint("merge"), "code").filter("u < v and uc <> vc")
         pairs = cut_lineage(found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
         near = cut_lineage(_alike(_alike(pairs, facts, "sig", _enough), facts, "hashes", _verified))
         stars = cut_lineage(components(near if stars is None else near.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))))
         if turn < rounds:
-            live = live.drop("c").join(stars.select(F.col("node").alias("key"), "root"), "key", "left").select("band", "code", "key", F.coalesce("root", "key").alias("c"))
-            several = live.groupBy("band", "code").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band", "code")
-            live = cut_lineage(live.join(several, ["band", "code"]))
+            live = live.drop("c").join(stars.select(F.col("node").alias("key"), "root"), "key", "left").select("code", "key", F.coalesce("root", "key").alias("c"))
+            several = live.groupBy("code").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("code")
+            live = cut_lineage(live.join(several.hint("merge"), "code"))
     return _named(made.select("__id", "key"), stars, "key").select(F.col("__id").alias(id_col), "key", "component_id")
 
 
