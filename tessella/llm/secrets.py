@@ -128,8 +128,8 @@ def _ratio(model: tuple[float, ...]) -> str:
 def scan(docs: DataFrame, text_col: str = "text", model: tuple[float, ...] | None = None, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """docs with an array column {prefix}{kind} of (start, stop) spans for each kind of KINDS.
 
-    Null or empty text: empty arrays. Code points from 0, stop exclusive. A markov span that overlaps a base span is left
-    out, as that span already covers it. Every row is scanned whole and on its own, so repeated rows get equal spans.
+    Null or empty text: empty arrays. Code points from 0, stop exclusive. A markov span that lies whole
+    in a base span is left out, as that span already covers it. Every row is scanned whole and on its own, so repeated rows get equal spans.
     """
     text = f"{prefix}scanned"
     out = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, text_col: str = "text", model: tuple[float, ...] | Non
     test = f"{_ratio(model or train())} > {threshold}D"
     out = out.withColumn(prefix + "markov", _spans(text, "markov", RUN, 0, MIN_RUN, test))
     base = f"concat({', '.join(prefix + k for k in PATTERNS)})"
-    free = f"filter({prefix}markov, s -> NOT exists({base}, b -> b.start < s.stop AND s.start < b.stop))"
+    free = f"filter({prefix}markov, s -> NOT exists({base}, b -> b.start <= s.start AND s.stop <= b.stop))"
     return out.withColumn(prefix + "markov", F.expr(f"CASE WHEN size({prefix}markov) = 0 THEN {prefix}markov ELSE {free} END")).drop(text)
 
 
