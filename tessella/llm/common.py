@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..runtime import cut_lineage, shared_dir, ship
 
-__all__ = ["append", "buckets_for", "cut_lineage", "id_text", "if_small", "shared_dir", "table"]
+__all__ = ["append", "buckets_for", "cut_lineage", "id_text", "if_small", "join_keyed", "shared_dir", "table"]
 
 #: Bytes of one Arrow batch sent to a Python worker, so that batches of very long texts stay small.
 BATCH_BYTES = "8m"
@@ -52,6 +52,21 @@ def if_small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """rows left-joined with keyed (one row a key, lineage cut; column count holds the rows of the key), without a hot key.
+
+    keyed is broadcast if it is small. Else the keys that hold over a share-th of those rows, which are under share keys, are
+    broadcast, and the rest is shuffled.
+    """
+    if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), key, "left")
+    bound = keyed.agg(F.sum(count)).first()[0] // share
+    hot, cold = keyed.filter(F.col(count) > bound), keyed.filter(F.col(count) <= bound)
+    are = hot.select(F.col(key), F.lit(True).alias("__hot"))
+    told = rows.join(F.broadcast(are), key, "left")
+    return told.filter("__hot").drop("__hot").join(F.broadcast(hot), key, "left").unionByName(told.filter("__hot IS NULL").drop("__hot").join(cold, key, "left"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, cut_lineage, id_text, if_small, table
+from .common import append, cut_lineage, id_text, if_small, join_keyed, table
 
 MAX_BITS = 2
 MATCHES = 6
@@ -36,7 +36,10 @@ COPY_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 AGREE = 44
-PIVOTS = 2
+#: Links followed to label keys known to be of one component, pairs left for each post that end the turns, most turns.
+HOPS = 2
+PAIRS_PER_POST = 32
+MAX_TURNS = 4
 _LANES = np.uint64(0x0101010101010101)
 _FACTORS, _TERMS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 _FACTORS |= np.uint64(1)
@@ -159,15 +162,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(fps.select("fp").distinct(), hot))
     return _named(fps, found, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
+
+def _groups(rows: DataFrame, found: DataFrame, key: str, least) -> DataFrame:
+    """(key, n, least) for the keys that several rows have or that found (node, root) links: n rows have the key, and least
+    is the minimum of the column least over all rows of the key's component. Lineage is cut."""
+    reps = rows.groupBy(key).agg(F.min(least).alias("rep"), F.count("*").alias("n"))
+    rooted = reps.join(found.select(F.col("node").alias(key), "root"), key, "left").filter("n > 1 OR root IS NOT NULL")
+    rooted = cut_lineage(rooted.withColumn("root", F.coalesce("root", key)))
+    roots = cut_lineage(rooted.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("__n")))
+    return cut_lineage(join_keyed(rooted, roots, "root", "__n").select(key, "n", "least"))
+
+
 def _named(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """rows (__id, key, ...) with component_id, the least id of the component that found (node, root) gives their key."""
-    reps = rows.groupBy(key).agg(F.min("__id").alias("rep"))
-    # Lineage is cut so that both sides of the joins on root and key are plain exchanges, whose hot keys AQE can split.
-    rooted = cut_lineage(reps.join(found.select(F.col("node").alias(key), "root"), key))
-    least = cut_lineage(rooted.groupBy("root").agg(F.min("rep").alias("least")))
-    moved = rooted.join(least, "root").select(key, "least")
-    names = cut_lineage(reps.join(moved, key, "left").select(key, F.coalesce("least", "rep").alias("component_id")))
-    return rows.join(names, key)
+    groups = _groups(rows, found, key, F.col("__id")).withColumnRenamed("least", "__least")
+    return join_keyed(rows, groups, key, "n").withColumn("component_id", F.when(F.col("n").isNull(), F.col("__id")).otherwise(F.col("__least")))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -230,37 +239,72 @@ def _verified(x: bytes, y: bytes) -> bool:
     return similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILARITY
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, rounds: int = PIVOTS) -> DataFrame:
-    """(id, key, component_id) for every row: components of "Jaccard similarity of shingle sets is at least SIMILARITY".
+def _labels(near: DataFrame) -> DataFrame:
+    """(key, c): the least key within HOPS links of each linked key. Equal labels are of one component, not conversely."""
+    both = near.select(F.col("a").alias("key"), F.col("b").alias("o")).unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("o")))
+    label = both.groupBy("key").agg(F.least("key", F.min("o")).alias("c"))
+    for _ in range(HOPS - 1):
+        label = cut_lineage(label)
+        label = both.join(label.select(F.col("key").alias("o"), "c"), "o").groupBy("key").agg(F.min("c").alias("c"))
+    return cut_lineage(label)
 
-    Minimum hashes are indexed by bands of ROWS; texts that share a band are candidates. Candidates that agree in AGREE
-    minimum hashes are verified by their whole shingle sets, so no pair below the bound is linked; a pair of similarity
-    0.8 shares no band with probability 3e-5. Equal texts collapse before anything is paired. In the first rounds each
-    band list is compared with one member of it, then all pairs of a list that aren't in one component yet are, so that
-    nothing is capped and lists of a large group are linked before they are paired.
-    """
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("key", F.xxhash64(F.coalesce("__t", F.lit(""))))
+
+def _several(live: DataFrame) -> tuple[DataFrame, int, int]:
+    """The posts (code, key, c) of lists with keys of several labels, their number, and the pairs of a list whose labels differ."""
+    sizes = live.groupBy("code", "c").agg(F.count("*").alias("n")).groupBy("code").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    sizes = cut_lineage(sizes.filter("labels > 1"))
+    posts, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")).cast("double")) / 2).first()
+    return cut_lineage(live.join(sizes.select("code").hint("merge"), "code")), posts or 0, pairs or 0
+
+
+def _compared(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of the pairs of keys (u, v), those that are near copies, as (a, b) with a < b."""
+    pairs = cut_lineage(found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    return cut_lineage(_alike(_alike(pairs, facts, "sig", _enough), facts, "hashes", _verified))
+
+
+def _copies(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """For rows (__id, __t): (__id, key) with key a hash of the text, and the components (node, root) of linked keys."""
+    texts = texts.withColumn("key", F.xxhash64(F.coalesce("__t", F.lit(""))))
     made = cut_lineage(_banded(texts, shingle))
-    posts = made.select("key", F.explode("bands").alias("code")).distinct()
+    posts = made.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("code"))
     shared = posts.groupBy("code").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("code")
-    live = cut_lineage(posts.join(shared.hint("merge"), "code").withColumn("c", F.col("key")))
+    live = cut_lineage(posts.join(shared.hint("merge"), "code"))
     facts = cut_lineage(_facts(texts.select("key", "__t").join(live.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), shingle))
-    stars = None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            mark = F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), F.col("key").alias("k"), F.col("c").alias("kc"))
-            lists = cut_lineage(live.groupBy("code").agg(F.min(mark).alias("p")))
-            found = live.join(lists.hint("merge"), "code").filter("c <> p.kc").select(F.col("key").alias("u"), F.col("p.k").alias("v"))
-        else:
-            found = live.select("code", F.col("key").alias("u"), F.col("c").alias("uc")).join(live.select("code", F.col("key").alias("v"), F.col("c").alias("vc")).hint("merge"), "code").filter("u < v and uc <> vc")
-        pairs = cut_lineage(found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-        near = cut_lineage(_alike(_alike(pairs, facts, "sig", _enough), facts, "hashes", _verified))
-        stars = cut_lineage(components(near if stars is None else near.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))))
-        if turn < rounds:
-            live = live.drop("c").join(stars.select(F.col("node").alias("key"), "root"), "key", "left").select("code", "key", F.coalesce("root", "key").alias("c"))
-            several = live.groupBy("code").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("code")
-            live = cut_lineage(live.join(several.hint("merge"), "code"))
-    return _named(made.select("__id", "key"), stars, "key").select(F.col("__id").alias(id_col), "key", "component_id")
+    live, near, turn = live.withColumn("c", F.col("key")), None, 0
+    while True:
+        live, posts_left, pairs_left = _several(live)
+        if turn == MAX_TURNS or pairs_left <= PAIRS_PER_POST * posts_left:
+            break
+        mark = F.struct((F.xxhash64(F.lit(turn), "key") if turn else F.col("key")).alias("h"), F.col("key").alias("k"), F.col("c").alias("kc"))
+        lists = cut_lineage(live.groupBy("code").agg(F.min(mark).alias("p")))
+        met = live.join(lists.hint("merge"), "code")
+        found = _compared(met.filter("c <> p.kc").select(F.col("key").alias("u"), F.col("p.k").alias("v")), facts)
+        near = found if near is None else near.unionByName(found)
+        # A list's pivot has met all of its list.
+        live = met.filter("key <> p.k").select("code", "key").join(_labels(near), "key", "left").withColumn("c", F.coalesce("c", "key"))
+        turn += 1
+    rest = live.select("code", F.col("key").alias("u"), F.col("c").alias("uc")).join(live.select("code", F.col("key").alias("v"), F.col("c").alias("vc")).hint("merge"), "code")
+    found = _compared(rest.filter("u < v and uc <> vc").select("u", "v"), facts)
+    return made.select("__id", "key"), cut_lineage(components(found if near is None else near.unionByName(found)))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE) -> DataFrame:
+    """(id, key, component_id) for every row: components of "Jaccard similarity of shingle sets is at least SIMILARITY".
+
+    The fingerprint is one byte of each of BANDS * ROWS minimum hashes of the text's shingles. Texts meet in an index of
+    position sets of ROWS minimum hashes; their shared positional bytes are tallied, pairs with AGREE or more are kept and
+    verified by their whole shingle sets. So no pair below the bound is linked, and a pair of similarity 0.8 shares no
+    position set with probability 3e-5. Equal texts collapse before anything is paired.
+
+    A list is first compared with one member at a time (its pivot, which then leaves it), so that a large group is linked
+    before it could be paired; that goes on until the pairs left, of members not known to be of one component, are at
+    most PAIRS_PER_POST for each post, or for MAX_TURNS turns. All pairs left are compared: nothing is capped.
+
+    Null and empty texts are equal and form one group. Repeated rows each get a row. Texts are told apart by a 64-bit hash.
+    """
+    rows, found = _copies(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), shingle)
+    return _named(rows, found, "key").select(F.col("__id").alias(id_col), "key", "component_id")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -269,17 +313,21 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the least id.
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the least id, nulls last.
 
-    Of rows that repeat that id, the one with the least text stays. Rows without an id can't be named by a link and
-    stay. Only ids are joined back; texts are shuffled for repeated ids alone.
+    Decisions are by row, that is by (id, hash of the text): unrelated texts under one id are told apart, and rows without
+    an id are deduplicated like others. Of rows with equal id and text, the one whose JSON is least stays. Empty table: no
+    rows. Only ids and hashes are joined back; texts are shuffled for repeated rows alone, or if over a million rows go.
     """
-    found = cut_lineage(near_copies(docs.select("doc_id", "text")))
-    repeated = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__tessella_id")).count().filter("count > 1").select("__tessella_id")
-    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__tessella_id")).distinct()
-    repeated, copies = cut_lineage(repeated), cut_lineage(copies)
-    same = docs["doc_id"] == F.col("__tessella_id")
-    kept = docs.join(if_small(copies.unionByName(repeated)), same, "left_anti")
-    again = docs.join(if_small(repeated), same, "left_semi")
-    least = again.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("__tessella_row"))
+    rows, found = _copies(docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__t")), COPY_SHINGLE)
+    first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("key").alias("text"))
+    groups = _groups(rows, found, "key", first)
+    pairs = rows.groupBy("__id", "key").agg(F.count("*").alias("__copies"))
+    told = join_keyed(pairs, groups, "key", "n").filter("least IS NOT NULL").withColumn("stays", F.col("__id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.text")))
+    told = cut_lineage(told.filter("NOT stays OR __copies > 1").select(F.col("__id").alias("__tessella_id"), F.col("key").alias("__tessella_key"), "stays"))
+    same = docs["doc_id"].eqNullSafe(F.col("__tessella_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__tessella_key"))
+    kept = docs.join(if_small(told.drop("stays")), same, "left_anti")
+    again = docs.join(if_small(told.filter("stays").drop("stays")), same)
+    names = [again[c] for c in docs.columns]
+    least = again.groupBy("__tessella_id", "__tessella_key").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("__tessella_row"))
     return kept.unionByName(least.select("__tessella_row.*"))

@@ -88,7 +88,61 @@ def test_simhash_ties_and_copies(spark, docs):
     assert zero == {0}
     assert {r.component_id for r in got if r.doc_id in (6, 7)} == {6}
     kept = [r.doc_id for r in simhash.stage(spark, docs, "").collect()]
-    assert kept.count(6) == 1 and 7 not in kept and 1 not in kept and 99 not in kept and kept.count(None) == 2
+    assert kept.count(6) == 1 and 7 not in kept and 1 not in kept and 99 not in kept and kept.count(0) == 1 and None not in kept
+
+
+def test_stage_keeps_one_row_of_each_group_when_ids_repeat(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30)) for _ in range(5))
+    given = [(5, a, 1), (6, a, 1), (3, b, 1), (5, b, 1), (8, c, 1), (8, d, 1), (8, d, 2), (8, d, 2), (None, e, 1), (None, e, 2), (None, a, 1), (7, None, 3), (7, "", 3)]
+    got = simhash.stage(spark, spark.createDataFrame(given, "doc_id bigint, text string, n int"), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.n) for r in got) == sorted([(5, a, 1), (3, b, 1), (8, c, 1), (8, d, 1), (0, e, 1), (7, "", 3)])
+    named = {(r.doc_id, r.key, r.component_id) for r in simhash.near_copies(spark.createDataFrame(given, "doc_id bigint, text string, n int")).collect()}
+    assert {(i, x) for i, _, x in named} == {(5, 5), (6, 5), (None, 5), (3, 3), (5, 3), (8, 8), (None, None), (7, 7)}
+
+
+def test_keyed_joins_of_any_size_are_equal(spark, monkeypatch):
+    from tessella.llm import common
+
+    rows = spark.createDataFrame([(i, 0 if i % 3 == 0 else i % 50) for i in range(600)], "__id bigint, k bigint")
+    keyed = common.cut_lineage(rows.filter("k < 40").groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n"))
+    results = []
+    for bound in (1000, 5):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+        results.append(sorted(map(tuple, common.join_keyed(rows, keyed, "k", "n", 10).collect()), key=repr))
+    assert results[0] == results[1] and len(results[0]) == 600
+
+
+def test_large_groups_and_common_passages(spark, monkeypatch):
+    """Groups of near copies of any size and lists of unlike members give the components of all pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    base, common = [word() for _ in range(80)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(30):
+        t = list(base)
+        for at in rng.sample(range(80), rng.randint(0, 3)):
+            t[at] = word()
+        texts += [" ".join(t), " ".join(common + [word() for _ in range(25)])]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    want = {i: root(i) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for pairs, turns in ((simhash.PAIRS_PER_POST, simhash.MAX_TURNS), (0, 2)):
+        monkeypatch.setattr(simhash, "PAIRS_PER_POST", pairs)
+        monkeypatch.setattr(simhash, "MAX_TURNS", turns)
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
 
 
 def test_simhash_hot_lists_give_the_same_links(spark):
