@@ -293,6 +293,59 @@ def test_html_comments_and_notices_inside_the_article():
     assert html_extract.extract(f"<body><p>{prose}</p><p>{prose}</p><ul><li><a>Home</a><li><a>About</a></ul></body>").split("\n") == [prose.strip()] * 2
 
 
+def _page(rng, article):
+    """A page and its blocks in order with their labels: short and long blocks of both kinds, an advert and readers' comments."""
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n)).capitalize() + "."
+    told, parts = [], []
+
+    def add(tag, text, content, inner="{}"):
+        told.append((text, content))
+        parts.append(f"<{tag}>{inner.format(text)}</{tag.split()[0]}>")
+
+    add("nav", say(2), False, "<ul><li><a href='/'>{}</a></ul>")
+    parts.append(f"<{article}>" if article else "<div><div>")
+    body = [("p", say(rng.randint(60, 150)), True) for _ in range(rng.randint(3, 6))]
+    body.insert(2, ("p", say(rng.randint(3, 5)), True))
+    body.insert(rng.randint(1, 4), ("div class='ad-box'", say(rng.choice((6, 150))), False))
+    for tag, text, content in body:
+        add(tag, text, content)
+    if article:
+        add("p", say(2), True, "<a href='#'>{}</a>")
+    parts.append("<section id='comments'>")
+    for _ in range(rng.randint(1, 4)):
+        add("div", say(rng.randint(3, 200)), False, "<p>{}</p>")
+    parts.append("</section>" + ("</" + article.split()[0] + ">" if article else "</div></div>"))
+    add("footer", say(5), False)
+    return "<body>" + "".join(parts) + "</body>", told
+
+
+@pytest.mark.parametrize("article", ["article", "main", "div class='post'", None])
+def test_the_cut_betters_labels_by_sign(article):
+    rng = random.Random(14)
+    changed = by_sign = by_cut = total = 0
+    for _ in range(60):
+        page, told = _page(rng, article)
+        found = html_extract.blocks(page)
+        assert [b.text for b in found] == [t for t, _ in told]
+        gain, links = html_extract.graph(found)
+        labels = html_extract.min_cut(gain, links)[: len(found)]
+        for g, x, (_, want) in zip(gain, labels, told, strict=False):
+            total, changed, by_sign, by_cut = total + 1, changed + ((g >= 0) != x), by_sign + ((g >= 0) == want), by_cut + (x == want)
+        if article:
+            assert html_extract.extract(page) == "\n".join(t for t, c in told if c)
+    assert changed > 0.1 * total and by_cut > by_sign + 0.1 * total and by_cut >= 0.97 * total
+
+
+def test_blocks_that_neither_terminal_settles_go_through_max_flow(monkeypatch):
+    calls = []
+    flow = html_extract._max_flow
+    monkeypatch.setattr(html_extract, "_max_flow", lambda rest, *a: calls.append(len(rest)) or flow(rest, *a))
+    long = "Long plain sentences of a reader who has much to say about it. " * 12
+    page = f"<article><p>{long}</p></article><div class='comments'>" + f"<p>{long}</p><p>short</p>" * 2000 + "</div>"
+    assert html_extract.extract(page) == long.strip()
+    assert max(calls) >= 4000
+
+
 def test_trie_equals_segmenting_alone():
     rng = random.Random(6)
     vocabulary = token_counts.Pieces()
