@@ -3,8 +3,9 @@
 A document's ids are cut from its start into whole windows and a rest, so pieces depend on the document alone and are
 tokenised once. The plan is made from the histogram of piece lengths (at most WINDOW bins, whatever the corpus):
 shallow combinations of lengths that fill a window exactly are enumerated, their repeat counts are solved against the
-histogram by non-negative least squares, rounded down, and the residual is packed greedily, largest length first, each
-hole taking the largest length that fits. A plan is a list of runs (length, first rank, count, first sequence, offset):
+histogram by non-negative least squares and rounded: down first, then up in order of the fractions as far as pieces are
+left, so that the solution's combinations, which fill their windows, take most of the pieces. The residual is packed
+greedily, largest length first, each hole taking the largest length that fits. A plan is a list of runs (length, first rank, count, first sequence, offset):
 its size depends on the bins, not on the rows.
 
 Rows find their place by rank: the k-th piece of its length takes the k-th place the plan holds for that length. Ranks
@@ -15,7 +16,7 @@ spread over many tasks.
 from __future__ import annotations
 
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache, partial
 from zlib import crc32
 
@@ -120,25 +121,37 @@ def solve(patterns: list[tuple[int, ...]], histogram: np.ndarray, rounds: int =
 
 
 def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(combination, repeats) that use up the histogram (index: length) exactly."""
+    """(combination, repeats) that use up the histogram (index: length) exactly: solved ones first, then greedy ones."""
+    solved, left = solution(histogram)
+    return solved + greedy(left)
+
+
+def solution(histogram: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """The rounded least-squares solution, and the histogram of the pieces it leaves."""
     window, left = len(histogram) - 1, histogram.astype(np.int64).copy()
     left[0] = 0
     steps: list[tuple[tuple[int, ...], int]] = []
-
-    def take(combination: tuple[int, ...], repeats: int) -> None:
-        if repeats > 0:
-            steps.append((combination, int(repeats)))
-            np.subtract.at(left, np.array(combination), int(repeats))
-
     if left[window]:
-        take((window,), left[window])
+        steps.append(((window,), int(left[window])))
+        left[window] = 0
     patterns = combinations(left)
-    counts = np.floor(solve(patterns, left) + 1e-6).astype(np.int64)
-    for i in np.argsort(-counts, kind="stable"):
-        uses = defaultdict(int)
-        for x in patterns[i]:
-            uses[x] += 1
-        take(patterns[i], min([counts[i], *(left[x] // n for x, n in uses.items())]))
+    counts = solve(patterns, left)
+    whole = np.floor(counts + 1e-6).astype(np.int64)
+    for wanted, order in ((whole, np.argsort(-whole, kind="stable")), ((counts - whole > 1e-3).astype(np.int64), np.argsort(whole - counts, kind="stable"))):
+        for i in order[wanted[order] > 0]:
+            uses = Counter(patterns[i])
+            repeats = min([int(wanted[i]), *(int(left[x]) // n for x, n in uses.items())])
+            if repeats > 0:
+                steps.append((patterns[i], repeats))
+                for x, n in uses.items():
+                    left[x] -= n * repeats
+    return steps, left
+
+
+def greedy(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """(combination, repeats) that use up the histogram: the largest length first, each hole taking the largest that fits."""
+    window, left = len(histogram) - 1, histogram.copy()
+    steps: list[tuple[tuple[int, ...], int]] = []
     # Greedy: each step uses up at least one bin's whole repeats, so there are at most a few steps for each length.
     present = [int(x) for x in np.flatnonzero(left)]
     while present:
@@ -147,10 +160,11 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             fit = min(hole // x, int(left[x]))
             chosen += [x] * fit
             hole -= fit * x
-        uses = defaultdict(int)
-        for x in chosen:
-            uses[x] += 1
-        take(tuple(chosen), min(left[x] // n for x, n in uses.items()))
+        uses = Counter(chosen)
+        repeats = min(int(left[x]) // n for x, n in uses.items())
+        steps.append((tuple(chosen), repeats))
+        for x, n in uses.items():
+            left[x] -= n * repeats
         present = [x for x in present if left[x]]
     return steps
 
