@@ -2,8 +2,9 @@
 
 Base kinds are patterns with a length rule. The method adds kind "markov": runs of MIN_RUN or more key characters
 whose log-likelihood ratio between a bigram model of random strings and one of ordinary identifiers is over
-THRESHOLD nats a character. The models are 64 x 64 tables of bigram log-probabilities, trained from labelled samples;
-the default samples are made by seeded rules below (a stated, bounded fit), and train() takes any others.
+THRESHOLD nats a character. The models are tables of bigram log-probabilities, one state for each key character, backed
+off to the character's own frequency, so that a rare pair of letters is no proof of chance. They are trained from labelled
+samples; the default samples are made by seeded rules below (a stated, bounded fit), and train() takes any others.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ PATTERNS = {
 MIN_RUN = 20
 RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 THRESHOLD = 0.6
-ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+"  # "/", "_", "=" and "-" share the last state
-STATES = len(ALPHABET) + 1
+ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
+STATES = len(ALPHABET) + 1  # the last state is any other character of a sample
+#: Bigrams that a character's own frequency counts for.
+BACKOFF = 200.0
 MASK = "[SECRET]"
 #: Ordinary words of which the built-in identifiers are made.
 WORDS = """account action address administration amount application article attribute authentication average balance
@@ -55,26 +58,32 @@ caracteristicas conocimiento desarrollo establecimiento investigacion organizaci
 
 
 def samples(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
-    """n labelled random strings (1) of several alphabets and n ordinary identifiers (0) of several styles."""
+    """n labelled random strings (1) of several alphabets, and n ordinary strings (0): identifiers of several styles, rules of
+    marks, and plain numbers and dates."""
     rng = random.Random(seed)
-    alphabets = ("0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits)
-    out = []
-    for _ in range(n):
-        out.append(("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))), 1))
-        words = rng.choices(WORDS, k=rng.randint(2, 6))
-        style = rng.randrange(6)
-        if style == 0:
-            name = words[0] + "".join(w.title() for w in words[1:])
-        else:
-            name = ("", "_", "-", "/", "")[style - 1].join(words)
-        if style == 5:
-            name = "".join(words).title()
-        if rng.random() < 0.15:
-            name = name.upper()
-        if rng.random() < 0.3:
-            name += rng.choice(("_v2", "-2024", "1", "_01", "/2023/11", "2"))
-        out.append((name, 0))
-    return out
+    alphabets = ("0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits)
+    return [x for _ in range(n) for x in (("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))), 1), (_ordinary(rng), 0))]
+
+
+def _ordinary(rng: random.Random) -> str:
+    kind = rng.random()
+    if kind < 0.04:  # a rule: one mark or a few in turn
+        return "".join(rng.choices("=-_/+", k=rng.randint(1, 2))) * rng.randint(20, 40)
+    if kind < 0.05:
+        return rng.choice((string.ascii_lowercase, string.ascii_uppercase))
+    if kind < 0.09:  # numbers, dates and counts up
+        return rng.choice((str(rng.randrange(10**19, 10**22)), "1234567890" * 2, f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}/" * 2))
+    words = rng.choices(WORDS, k=rng.randint(2, 6))
+    style = rng.randrange(7)
+    if style < 2:
+        name = "".join(w.title() for w in words) if style else words[0] + "".join(w.title() for w in words[1:])
+    else:
+        name = ("", "_", "-", "/", "_")[style - 2].join(words)
+    if rng.random() < 0.15:
+        name = name.upper()
+    if rng.random() < 0.3:
+        name += rng.choice(("_v2", "-2024", "1", "_01", "/2023/11", "2"))
+    return name
 
 
 def _state(c: str) -> int:
@@ -82,17 +91,22 @@ def _state(c: str) -> int:
 
 
 @lru_cache(maxsize=8)
-def train(labelled: tuple[tuple[str, int], ...] | None = None, smoothing: float = 0.5) -> tuple[float, ...]:
-    """Log-likelihood ratio (random over ordinary) of each bigram of states, row by row."""
-    counts = (Counter(), Counter())
-    for text, label in labelled or samples():
-        s = [_state(c) for c in text]
-        counts[label].update(zip(s, s[1:], strict=False))
-    table_ = []
-    for a in range(STATES):
-        sums = [sum(k[(a, b)] for b in range(STATES)) + smoothing * STATES for k in counts]
-        table_ += [math.log((counts[1][(a, b)] + smoothing) / sums[1]) - math.log((counts[0][(a, b)] + smoothing) / sums[0]) for b in range(STATES)]
-    return tuple(table_)
+def train(labelled: tuple[tuple[str, int], ...] | None = None, backoff: float = BACKOFF) -> tuple[float, ...]:
+    """Log-likelihood ratio (random over ordinary) of each bigram of states, row by row; by default of samples() and an
+    ordinary run of each key character."""
+    labelled = labelled or (*samples(), *((c * 100, 0) for c in ALPHABET))
+    rows = []
+    for label in (0, 1):
+        pairs: Counter = Counter()
+        for text, own in labelled:
+            if own == label:
+                s = [_state(c) for c in text]
+                pairs.update(zip(s, s[1:], strict=False))
+        count = [[pairs[(a, b)] for b in range(STATES)] for a in range(STATES)]
+        total = sum(map(sum, count)) + STATES
+        single = [(sum(row[b] for row in count) + 1) / total for b in range(STATES)]
+        rows.append([[math.log((x + backoff * p) / (sum(row) + backoff)) for x, p in zip(row, single, strict=True)] for row in count])
+    return tuple(r - o for random_, ordinary in zip(rows[1], rows[0], strict=True) for r, o in zip(random_, ordinary, strict=True))
 
 
 def _sql(text: str) -> str:
@@ -128,10 +142,14 @@ def _ratio(model: tuple[float, ...]) -> str:
 def scan(docs: DataFrame, text_col: str = "text", model: tuple[float, ...] | None = None, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """docs with an array column {prefix}{kind} of (start, stop) spans for each kind of KINDS.
 
-    Null or empty text: empty arrays. Code points from 0, stop exclusive. A markov span that lies whole
-    in a base span is left out, as that span already covers it. Every row is scanned whole and on its own, so repeated rows get equal spans.
+    Null or empty text: empty arrays. Empty table: no rows. Code points from 0, stop exclusive. A markov span that lies whole
+    in a base span is left out, as that span already covers it. Every row is scanned whole, however long, and on its own, so
+    repeated rows get equal spans. A column of docs that has one of the new names is an error: choose another prefix.
     """
-    text = f"{prefix}scanned"
+    text = f"__{prefix}tessella_scanned"
+    taken = {text, *(prefix + k for k in KINDS)} & set(docs.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} exist; use another prefix")
     out = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     for kind, (pattern, group, least) in PATTERNS.items():
         out = out.withColumn(prefix + kind, _spans(text, kind, pattern, group, least))
