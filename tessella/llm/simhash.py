@@ -31,15 +31,15 @@ KEY_BYTES = 5
 HOT = 128
 SEED = 42
 #: Near copies of the pipeline's stage: shingle words, least Jaccard similarity, bands of minimum hashes, the agreeing
-#: minimum hashes a candidate needs (a pair of similarity 0.8 has 64 on average, under 44 with probability 1e-7).
+#: positional bytes a candidate needs (a pair of similarity 0.8 has 64 on average, under 44 with probability 1e-7).
 COPY_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 AGREE = 44
-#: Links followed to label keys known to be of one component, pairs left for each post that end the turns, most turns.
-HOPS = 2
-PAIRS_PER_POST = 32
-MAX_TURNS = 4
+#: Members of a list that are compared in one piece of work, members from which a list meets pivots first, and pivots.
+BLOCK = 512
+HOT_LIST = 8192
+PIVOTS = 3
 _LANES = np.uint64(0x0101010101010101)
 _FACTORS, _TERMS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 _FACTORS |= np.uint64(1)
@@ -187,12 +187,6 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets, each without repeats; empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def _sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
     return [np.unique(_hashes((t or "").encode().lower().split(), shingle)) for t in texts]
 
@@ -211,82 +205,145 @@ def _banded(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _facts(texts: DataFrame, shingle: int) -> DataFrame:
-    """(key, sig, hashes): one byte of each minimum hash, and the shingle set."""
+    """(key, sig, hashes): the positional bytes, one of each minimum hash, and the sorted shingle set in 32-bit hashes."""
 
     def kernel(batch: pa.RecordBatch) -> list:
         sets = _sets(batch.column("__t").to_pylist(), shingle)
-        return [[(signature(h) >> np.uint64(48)).astype(np.uint8).tobytes() for h in sets], [h.tobytes() for h in sets]]
+        sigs = [(signature(h) >> np.uint64(48)).astype(np.uint8).tobytes() for h in sets]
+        return [sigs, [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in sets]]
 
     return append(texts, kernel, "sig binary, hashes binary").drop("__t")
 
 
-def _alike(pairs: DataFrame, facts: DataFrame, col: str, keep) -> DataFrame:
-    """The pairs (a, b) whose values of col pass keep."""
-    x = facts.select(F.col("key").alias("a"), F.col(col).alias("x"))
-    y = facts.select(F.col("key").alias("b"), F.col(col).alias("y"))
-
-    def kernel(batch: pa.RecordBatch) -> list:
-        return [[keep(p, q) for p, q in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]]
-
-    return append(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y"), kernel, "ok boolean").filter("ok").select("a", "b")
-
-
-def _enough(x: bytes, y: bytes) -> bool:
-    return int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= AGREE
-
+def alike(keys: list, sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, labels: np.ndarray, band: int, kind: str) -> list[tuple]:
+    """Links (key, key) that span the near copies among the members of one piece of work.
 
-def _verified(x: bytes, y: bytes) -> bool:
-    return similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILARITY
-
-
-def _labels(near: DataFrame) -> DataFrame:
-    """(key, c): the least key within HOPS links of each linked key. Equal labels are of one component, not conversely."""
-    both = near.select(F.col("a").alias("key"), F.col("b").alias("o")).unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("o")))
-    label = both.groupBy("key").agg(F.least("key", F.min("o")).alias("c"))
-    for _ in range(HOPS - 1):
-        label = cut_lineage(label)
-        label = both.join(label.select(F.col("key").alias("o"), "c"), "o").groupBy("key").agg(F.min("c").alias("c"))
-    return cut_lineage(label)
-
-
-def _several(live: DataFrame) -> tuple[DataFrame, int, int]:
-    """The posts (code, key, c) of lists with keys of several labels, their number, and the pairs of a list whose labels differ."""
-    sizes = live.groupBy("code", "c").agg(F.count("*").alias("n")).groupBy("code").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    sizes = cut_lineage(sizes.filter("labels > 1"))
-    posts, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")).cast("double")) / 2).first()
-    return cut_lineage(live.join(sizes.select("code").hint("merge"), "code")), posts or 0, pairs or 0
+    A pair counts in the first band that it shares. kind "all" compares all members, "cross" those of unlike sides, "pivot"
+    those of side 1 with the others. Pairs of one label are known to be connected. A pair needs sizes within SIMILARITY, then
+    AGREE common positional bytes, then SIMILARITY of its sets; of the links found, those that connect two parts stay.
+    """
+    n, parent, out = len(keys), list(range(len(keys))), []
+    size = np.array([len(x) for x in sets])
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(n):
+        if kind == "pivot":
+            if not sides[i]:
+                continue
+            others = np.flatnonzero(sides == 0)
+        else:
+            others = np.arange(i + 1, n)
+            if kind == "cross":
+                others = others[sides[others] != sides[i]]
+        others = others[(labels[others] != labels[i]) & (np.minimum(size[others], size[i]) >= SIMILARITY * np.maximum(size[others], size[i]))]
+        same = sigs[others] == sigs[i]
+        enough = same.sum(axis=1) >= AGREE
+        others, same = others[enough], same[enough]
+        first = same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        mine = root(i)
+        others = [j for j in others[first].tolist() if root(j) != mine and keys[j] != keys[i]]
+        if not others:
+            continue
+        if size[i]:
+            every, starts = np.concatenate([sets[j] for j in others]), np.concatenate([[0], np.cumsum(size[others])[:-1]])
+            at = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == every).astype(np.int64), starts)
+            near = both >= SIMILARITY * (size[others] + size[i] - both)
+        else:
+            near = np.ones(len(others), bool)
+        for j, ok in zip(others, near.tolist(), strict=True):
+            if ok and root(j) != root(i):
+                parent[root(j)] = root(i)
+                out.append((keys[i], keys[j]))
+    return out
 
 
-def _compared(found: DataFrame, facts: DataFrame) -> DataFrame:
-    """Of the pairs of keys (u, v), those that are near copies, as (a, b) with a < b."""
-    pairs = cut_lineage(found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    return cut_lineage(_alike(_alike(pairs, facts, "sig", _enough), facts, "hashes", _verified))
+def _meet(work: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b): links found in the pieces of work (code, i, j; rows band, key, side, c). A piece's size is bounded by BLOCK, so
+    rows are sorted by piece and read as a stream; j is -1 where side 1 are pivots."""
+    rows = work.join(facts.hint("merge"), "key").select("code", "i", "j", "band", "key", "side", "c", "sig", "hashes")
+    rows = rows.repartition("code", "i", "j").sortWithinPartitions("code", "i", "j")
+
+    def pieces(batches):
+        held, mine = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != mine:
+                    if len(held) > 1:
+                        yield held
+                    held, mine = [], row[:3]
+                held.append(row)
+        if len(held) > 1:
+            yield held
+
+    def kernel(batches):
+        found: list[tuple] = []
+        for rows in pieces(batches):
+            _, i, j, band, *_ = rows[0]
+            keys, sides, labels, sigs, sets = zip(*(r[4:] for r in rows), strict=True)
+            kind = "pivot" if j < 0 else "all" if i == j else "cross"
+            matrix = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(rows), -1)
+            found += alike(keys, matrix, [np.frombuffer(x, np.uint32) for x in sets], np.array(sides), np.array(labels), band, kind)
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+
+    return cut_lineage(rows.mapInArrow(kernel, "u bigint, v bigint").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+
+
+def _work(lists: DataFrame) -> DataFrame:
+    """Pieces of work for lists (code, band, key, c, big, n_rest, n_big): members are dealt into blocks, and each pair of blocks is
+    a piece, but for pairs of blocks of big, whose members are of one component."""
+    rest, big = (F.ceil(F.col(c) / BLOCK) for c in ("n_rest", "n_big"))
+    deal = F.xxhash64(F.lit("block"), "key")
+    own = F.when(F.col("big"), rest + F.pmod(deal, F.greatest(big, F.lit(1)))).otherwise(F.pmod(deal, F.greatest(rest, F.lit(1))))
+    many = lists.filter("n_rest > 0").withColumn("side", own)
+    met = F.sequence(F.lit(0), F.when(F.col("big"), rest - 1).otherwise(rest + big - 1))
+    many = many.withColumn("other", F.explode(met))
+    return many.select("code", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "band", "key", "side", "c")
+
+
+def _hot_lists(hot: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of large lists to PIVOTS of their members each, and the lists with the largest component so found told apart.
+
+    Linear in the members. A list of one component alone needs no more work.
+    """
+    chunks = F.ceil(F.col("n") / BLOCK)
+    chosen = F.array_distinct(F.array(*[F.min_by("key", F.xxhash64(F.lit(k), "key")) for k in range(PIVOTS)]))
+    pivots = hot.groupBy("code").agg(chosen.alias("keys"), F.first("band").alias("band"), F.first("n").alias("n"))
+    pivots = pivots.select("code", "band", "n", F.explode("keys").alias("key")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("i"))
+    members = hot.select("code", "band", "key", F.pmod(F.xxhash64(F.lit("block"), "key"), chunks).alias("i"), F.lit(0).alias("side"))
+    work = members.unionByName(pivots.select("code", "band", "key", "i", F.lit(1).alias("side")))
+    near = _meet(work.withColumn("j", F.lit(-1).cast("bigint")).withColumn("c", F.col("key")), facts)
+    roots = cut_lineage(components(near).groupBy("node").agg(F.min("root").alias("root")))
+    told = cut_lineage(hot.drop("c").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("c", F.coalesce("root", "key")).drop("root"))
+    sizes = told.groupBy("code", "c").agg(F.count("*").alias("m")).groupBy("code").agg(F.max(F.struct("m", "c")).alias("top"))
+    told = told.join(sizes.hint("merge"), "code").withColumn("n_big", F.when(F.col("top.m") > 1, F.col("top.m")).otherwise(F.lit(0).cast("bigint")))
+    return near, told.withColumn("big", (F.col("n_big") > 0) & (F.col("c") == F.col("top.c"))).withColumn("n_rest", F.col("n") - F.col("n_big")).drop("top")
 
 
 def _copies(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """For rows (__id, __t): (__id, key) with key a hash of the text, and the components (node, root) of linked keys."""
     texts = texts.withColumn("key", F.xxhash64(F.coalesce("__t", F.lit(""))))
     made = cut_lineage(_banded(texts, shingle))
-    posts = made.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("code"))
-    shared = posts.groupBy("code").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("code")
+    posts = made.select("key", "bands").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "code"))
+    shared = posts.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1")
     live = cut_lineage(posts.join(shared.hint("merge"), "code"))
     facts = cut_lineage(_facts(texts.select("key", "__t").join(live.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), shingle))
-    live, near, turn = live.withColumn("c", F.col("key")), None, 0
-    while True:
-        live, posts_left, pairs_left = _several(live)
-        if turn == MAX_TURNS or pairs_left <= PAIRS_PER_POST * posts_left:
-            break
-        mark = F.struct((F.xxhash64(F.lit(turn), "key") if turn else F.col("key")).alias("h"), F.col("key").alias("k"), F.col("c").alias("kc"))
-        lists = cut_lineage(live.groupBy("code").agg(F.min(mark).alias("p")))
-        met = live.join(lists.hint("merge"), "code")
-        found = _compared(met.filter("c <> p.kc").select(F.col("key").alias("u"), F.col("p.k").alias("v")), facts)
-        near = found if near is None else near.unionByName(found)
-        # A list's pivot has met all of its list.
-        live = met.filter("key <> p.k").select("code", "key").join(_labels(near), "key", "left").withColumn("c", F.coalesce("c", "key"))
-        turn += 1
-    rest = live.select("code", F.col("key").alias("u"), F.col("c").alias("uc")).join(live.select("code", F.col("key").alias("v"), F.col("c").alias("vc")).hint("merge"), "code")
-    found = _compared(rest.filter("u < v and uc <> vc").select("u", "v"), facts)
-    return made.select("__id", "key"), cut_lineage(components(found if near is None else near.unionByName(found)))
+    live = live.withColumn("c", F.col("key"))
+    lists, near = live.filter(F.col("n") <= HOT_LIST).select("*", F.lit(False).alias("big"), F.col("n").alias("n_rest"), F.lit(0).cast("bigint").alias("n_big")), []
+    if not live.filter(F.col("n") > HOT_LIST).isEmpty():
+        linked, hot = _hot_lists(live.filter(F.col("n") > HOT_LIST), facts)
+        lists, near = lists.unionByName(hot), [linked]
+    links = reduce(DataFrame.unionByName, near, _meet(_work(lists), facts))
+    return made.select("__id", "key"), cut_lineage(components(links))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE) -> DataFrame:
@@ -297,9 +354,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified by their whole shingle sets. So no pair below the bound is linked, and a pair of similarity 0.8 shares no
     position set with probability 3e-5. Equal texts collapse before anything is paired.
 
-    A list is first compared with one member at a time (its pivot, which then leaves it), so that a large group is linked
-    before it could be paired; that goes on until the pairs left, of members not known to be of one component, are at
-    most PAIRS_PER_POST for each post, or for MAX_TURNS turns. All pairs left are compared: nothing is capped.
+    Lists are dealt into blocks of BLOCK members, and pairs of blocks are compared where they lie; only links that connect
+    parts leave them, so that what is shuffled is members, not pairs. Lists of over HOT_LIST members are compared with
+    PIVOTS of them first, which is linear; members of the largest component so found are not compared with one another
+    again. Nothing is capped.
 
     Null and empty texts are equal and form one group. Repeated rows each get a row. Texts are told apart by a 64-bit hash.
     """

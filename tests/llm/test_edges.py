@@ -140,9 +140,9 @@ def test_large_groups_and_common_passages(spark, monkeypatch):
                 parent[y] = x
     want = {i: root(i) for i in range(len(texts))}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for pairs, turns in ((simhash.PAIRS_PER_POST, simhash.MAX_TURNS), (0, 2)):
-        monkeypatch.setattr(simhash, "PAIRS_PER_POST", pairs)
-        monkeypatch.setattr(simhash, "MAX_TURNS", turns)
+    for block, hot in ((simhash.BLOCK, simhash.HOT_LIST), (7, 10_000), (4, 9)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "HOT_LIST", hot)
         assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
 
 
