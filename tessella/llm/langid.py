@@ -3,12 +3,13 @@
 Vectors: hashed byte bigrams and trigrams of the lower-cased UTF-8 text, in which each run of ASCII characters that are
 no letters is one space; counts are log-scaled, weighted by IDF, and the vector has length one.
 Each language has up to CLUSTERS centroids (spherical k-means). A text takes the language of the centroid with the
-largest cosine. Rejection is by distance: under the floor of its n-gram count's band (FLOOR times the least cosine that
-a training text of the band reached) a text is like no learned language. Texts of under MIN_GRAMS n-grams are too short
-for their distance to tell and are not rejected by it.
+largest cosine. Rejection is by distance: short texts have lower cosines, so each band of n-gram counts has its own floor,
+FLOOR times the LOWEST quantile of the cosines that the sample's texts reach when their n-grams are thinned to that band.
+Under it a text is like no learned language.
 
-Bound: the classifier is fitted on about PER_LANG texts of each language, chosen by a hash of the id (a stated
-sample of labelled rows; whole texts). Prediction covers every row and never sees lang, source or the id.
+Bound: the classifier is fitted on about PER_LANG texts of each of the MAX_LANGS most frequent languages, fewer if that is
+over MAX_SAMPLE in all, chosen by a hash of the id (a stated sample of labelled rows; whole texts). Prediction covers
+every row and never sees lang, source or the id.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ DIMS = 4096
 PER_LANG = 400
 CLUSTERS = 4
 MAX_LANGS = 1000
-FLOOR = 0.3
-MIN_GRAMS = 64
+MAX_SAMPLE = 8000
+#: Texts that set the floors, the quantile of their cosines, and the share of it that is still accepted.
+CALIBRATION = 400
+LOWEST = 0.01
+FLOOR = 0.36
 UNKNOWN = "und"
 _SLICE = 128
 #: Code of each byte: itself for a-z and bytes of other letters, a space for the rest of ASCII.
@@ -97,27 +101,40 @@ def fit_counts(counts: np.ndarray, labels: list[str], clusters: int = CLUSTERS)
     x = _unit(np.log1p(counts) * idf)
     parts = [_kmeans(x[mine == i], clusters) for i in range(len(langs))]
     model = Centroids(langs, idf, np.repeat(np.arange(len(langs)), [len(p) for p in parts]), np.concatenate(parts), np.zeros(1))
-    best = (x @ model.matrix.T).max(axis=1)
-    bands, low, floors = _band(counts), 1.0, []
-    for b in range(40, -1, -1):  # a shorter band's floor is never above a longer one's
-        low = min([low, *best[bands == b]])
-        floors.append(FLOOR * low if 2**b >= MIN_GRAMS else 0.0)
-    model.floors = np.array(floors[::-1])
+    model.floors = _floors(model, counts)
     return model
 
 
+def _floors(model: Centroids, counts: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Least accepted cosine by band, from texts thinned to each band's n-grams (Poisson draws); from the longest band that the
+    sample reaches on, the floor stays the same."""
+    rng = np.random.default_rng(seed)
+    some = counts[rng.permutation(len(counts))[:CALIBRATION]]
+    total = np.maximum(some.sum(axis=1), 1)
+    floors, row, col = [], *np.nonzero(some)
+    for band in range(41):
+        enough = total >= 1.5 * 2**band
+        if enough.sum() < min(20, len(total)):
+            break
+        thin = np.zeros_like(some)
+        thin[row, col] = rng.poisson(some[row, col] * (1.5 * 2**band / total)[row])
+        best = (model.vectors(thin[enough]) @ model.matrix.T).max(axis=1)
+        floors.append(FLOOR * max(0.0, float(np.quantile(best, LOWEST))))
+    return np.array(floors or [0.0])
+
+
 def _lowered(column: pa.Array) -> list[bytes]:
     return pc.utf8_lower(pc.fill_null(column, "")).cast(pa.binary()).to_pylist()
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, clusters: int = CLUSTERS) -> Centroids | None:
-    """Fit on about per_lang rows of each non-null language, chosen by a hash of the id; texts stay on the executors."""
+    """Fit on about per_lang rows of each non-null language, chosen by a hash of the id; texts stay on the executors. None if
+    no row has a language and a text."""
     ids = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).filter("__lang is not null and __text is not null")
-    sizes = ids.groupBy("__lang").count().limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages in {lang_col}")
+    sizes = ids.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGS).collect()
     if not sizes:
         return None
+    per_lang = min(per_lang, MAX_SAMPLE / len(sizes))
     shares = F.create_map(*chain.from_iterable((F.lit(r[0]), F.lit(min(1.0, per_lang / r[1]))) for r in sizes))
     draw = F.pmod(F.xxhash64(F.lit("fit"), "__id"), F.lit(1_000_000)) / 1e6
     sample = ids.filter(draw < shares[F.col("__lang")]).select("__lang", "__text")
@@ -141,7 +158,8 @@ def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text", p
     """docs with lang_pred, score (cosine) and rejected, for every row (column names start with prefix).
 
     Null, empty or letterless text, or no model: lang_pred "und", score 0, rejected. Equal cosines: the first centroid
-    in order of language. Whole texts are read; a row depends on nothing but its text.
+    in order of language. Empty table: no rows. Whole texts are read, however long; a row depends on nothing but its text.
+    A column of docs that has one of the new names is an error: choose another prefix.
     """
 
     def kernel(batch: pa.RecordBatch) -> list:
@@ -155,6 +173,9 @@ def identify(docs: DataFrame, model: Centroids | None, text_col: str = "text", p
         names = [model.langs[i] if ok else UNKNOWN for i, ok in zip(lang.tolist(), letters, strict=True)]
         return [names, pa.array(np.where(letters, top, 0.0).astype(np.float64)), pa.array(far | ~letters)]
 
+    taken = {prefix + c for c in ("lang_pred", "score", "rejected")} & set(docs.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} exist; use another prefix")
     return append(docs, kernel, f"{prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean")
 
 
@@ -173,6 +194,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised stay; those that the distance rejects, or without a letter, go."""
-    out = identify(docs, _learn(docs), prefix="__tessella_")
-    return out.filter("not __tessella_rejected").drop("__tessella_lang_pred", "__tessella_score", "__tessella_rejected")
+    """Documents whose language is recognised stay, and lang becomes the language found; those that the distance rejects, or
+    without a letter, go."""
+    out = identify(docs, _learn(docs), prefix="__tessella_").filter("not __tessella_rejected")
+    return out.select(*[F.col("__tessella_lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
