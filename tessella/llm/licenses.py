@@ -2,13 +2,16 @@
 
 Each notice is a normalised phrase with an edit bound k. Split into k + 1 parts, at least one part is untouched by k
 edits (pigeonhole), so exact occurrences of the parts (found by one Aho-Corasick pass) name all candidates. Around
-each seed the regex library matches the whole phrase with bounded errors, and the best match is reported as a span of
-the normalised text, with its edits. Normalised text: words joined by single spaces.
+each seed the regex library matches the whole phrase with bounded errors, the best match first and then what is left on
+both of its sides, and matches are reported as spans of the document, with their edits. Texts are matched in normalised
+form: words joined by single spaces.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -131,11 +134,21 @@ def _index(notices: tuple[tuple[str, str], ...]):
     return automaton, compiled
 
 
+def matches(pattern, norm: str, a: int, b: int, shortest: int) -> Iterator:
+    """Non-overlapping matches between a and b: the best of all, then those in what is left on either side of it."""
+    open_ = [(a, b)]
+    while open_:
+        a, b = open_.pop()
+        if b - a >= shortest and (m := pattern.search(norm, a, b)):
+            yield m
+            open_ += [(a, m.start()), (m.end(), b)]
+
+
 def fuzzy(norm: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items())) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) of the notices in a normalised text, by start.
 
-    Seeds whose windows overlap are searched together; a window's non-overlapping best matches are
-    tested for the notice's telling words, and of notices that overlap the best is reported.
+    Seeds whose windows overlap are searched together; a window's matches are tested for the notice's telling words, and
+    of notices that overlap the best is reported.
     """
     automaton, compiled = _index(notices)
     zones: dict[int, list[list[int]]] = {}
@@ -150,12 +163,12 @@ def fuzzy(norm: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES.items(
                 mine.append([a, a + length + 2 * k])
     found = []
     for n, mine in zones.items():
-        pattern, label, length, _, telling = compiled[n]
+        pattern, label, length, k, telling = compiled[n]
         for a, b in mine:
             at, b = max(0, a), min(len(norm), b)
             if any(len(t) < 6 and norm.find(t, at, b) < 0 for t in telling):
                 continue
-            for m in pattern.finditer(norm, at, b):
+            for m in matches(pattern, norm, at, b, length - k):
                 if _told(norm, m.start(), m.end(), telling):
                     found.append((m.start(), m.end(), label, sum(m.fuzzy_counts), length))
     return _best(found)
@@ -165,13 +178,30 @@ def base_places(norm: str, phrases: dict[str, str] = BASE) -> list[tuple[int, st
     """(word index, label) of every place where a phrase's words stand consecutively, by index then label."""
     padded, out = f" {norm} ", []
     for phrase, label in phrases.items():
-        at = padded.find(f" {phrase} ")
+        at, seen, word = padded.find(f" {phrase} "), 0, 0
         while at >= 0:
-            out.append((padded.count(" ", 0, at), label))
+            word, seen = word + padded.count(" ", seen, at), at
+            out.append((word, label))
             at = padded.find(f" {phrase} ", at + 1)
     return sorted(out)
 
 
+def in_document(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
+    """Spans of the normalised text as code points of the document (given in lower case), from first character to last."""
+    starts, offsets, at = [], [], 0
+    for m in WORD.finditer(text):
+        starts.append(m.start())
+        offsets.append(at)
+        at += m.end() - m.start() + 1
+    ends = [*offsets[1:], at]
+
+    def place(x: int) -> int:
+        i = bisect_right(offsets, x) - 1
+        return starts[i] + min(x - offsets[i], ends[i] - offsets[i] - 1)
+
+    return [{"start": place(a), "end": place(b - 1) + 1, "label": x, "edits": e} for a, b, x, e in spans]
+
+
 _SCHEMA = (
     "n_words bigint, base array<struct<word:bigint,label:string>>, "
     "spans array<struct<start:bigint,end:bigint,label:string,edits:bigint>>, score double"
@@ -179,22 +209,24 @@ _SCHEMA = (
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] | None = None) -> DataFrame:
-    """(id, n_words, base places, fuzzy spans, score) of every whole text.
+    """(id, n_words, base places, fuzzy spans, score) of every whole text; spans are code points of the text, end exclusive.
 
     score: 1 for a base place or an exact notice, else 1 - edits / length of the best span, 0 without any. Null or empty
-    text: no words, nothing found. Repeated rows get equal results; other columns are ignored.
+    text: no words, nothing found. Empty table: no rows. Repeated rows get equal results; other columns are ignored.
     """
     wanted = tuple((NOTICES if notices is None else notices).items())
 
     def kernel(batch: pa.RecordBatch) -> list:
         counts, bases, spans, scores = [], [], [], []
         for text in batch.column("__text").to_pylist():
-            words = WORD.findall((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower())
+            text = text or ""
+            text = text.lower() if text.isascii() else text.translate(LOWER)
+            words = WORD.findall(text)
             norm = " ".join(words)
             base, found = base_places(norm), fuzzy(norm, wanted)
             counts.append(len(words))
             bases.append([{"word": w, "label": x} for w, x in base])
-            spans.append([{"start": a, "end": b, "label": x, "edits": e} for a, b, x, e in found])
+            spans.append(in_document(text, found) if found else [])
             scores.append(1.0 if base else max((1 - e / max(1, b - a) for a, b, _, e in found), default=0.0))
         return [counts, bases, spans, scores]
 

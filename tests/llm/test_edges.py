@@ -245,6 +245,69 @@ def test_language_rejection_keeps_prose_and_drops_noise(spark):
     assert all(r.rejected for r in out.collect())
 
 
+@pytest.fixture(scope="module")
+def languages():
+    import pyarrow.parquet as pq
+
+    given = pq.read_table("/root/testdata/sf0.01/documents.parquet").select(["text", "lang"]).to_pylist()
+    counts = langid.ngram_counts([d["text"].lower().encode() for d in given])
+    return given, counts, langid.fit_counts(counts, [d["lang"] for d in given])
+
+
+def test_language_rejection_of_strange_texts(languages):
+    given, counts, model = languages
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    strange = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Все люди рождаются свободными",
+        "人人生而自由",
+        "def f(x):\n    return [y for y in range(len(x)) if x[y] is not None]\nfor i in xs:\n    print(i, f(i))\n" * 3,
+        *("".join(rng.choices(a, k=n)) for a in (letters + "   ", letters + letters.upper() + "0123456789+/") for n in (300, 2000)),
+    ]
+    _, _, far = model.predict(langid.ngram_counts([t.lower().encode() for t in strange]))
+    assert far.all()
+    lang, _, far = model.predict(counts)
+    assert not far.any() and sum(model.langs[i] != d["lang"] for i, d in zip(lang, given, strict=True)) <= 5
+    snippets = [" ".join(d["text"].split()[9:19]) for d in given if len(d["text"].split()) > 30]
+    assert model.predict(langid.ngram_counts([t.lower().encode() for t in snippets]))[2].mean() < 0.01
+
+
+def test_language_equals_plain_nearest_centroids(languages):
+    import math
+    import re
+
+    given, counts, model = languages
+    lang, top, _ = model.predict(counts[:40])
+    for i, d in enumerate(given[:40]):
+        text = re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", b" " + d["text"].lower().encode() + b" ")
+        grams = {}
+        for n, base, salt in ((2, (257,), 17), (3, (257, 263), 40503)):
+            for at in range(len(text) - n + 1):
+                code = text[at]
+                for b, c in zip(base, text[at + 1 : at + n], strict=True):
+                    code = code * b + c
+                slot = ((code + salt) * 2654435761 & 0xFFFFFFFF) >> 20
+                grams[slot] = grams.get(slot, 0) + 1
+        vector = {k: math.log1p(v) * float(model.idf[k]) for k, v in grams.items()}
+        size = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[k]) for k, v in vector.items()) / size for c in model.matrix]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert model.owner[best] == lang[i] and abs(cosines[best] - top[i]) < 1e-4
+
+
+def test_language_stage_writes_what_it_finds(spark):
+    from tessella.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    blank = docs.withColumn("lang", langid.F.expr("CASE WHEN doc_id % 3 > 0 THEN lang END"))
+    found = {r.doc_id: r.lang for r in langid.stage(spark, blank, sf).collect()}
+    real = {r.doc_id: r.lang for r in docs.collect()}
+    assert len(found) == len(real) and sum(found[i] != real[i] for i in real) <= 2
+
+
 def test_decontamination_of_short_and_overlapping_items(spark, docs, benchmark, sf_dir):
     got = {r.doc_id: r for r in decontaminate.op9(spark, sf_dir).collect() if r.doc_id is not None}
     assert (got[8].n_hit, got[8].n_items) == (17, 2)
@@ -433,6 +496,44 @@ def test_neighbouring_licences(text, labels):
         assert {x for _, _, x, _ in licenses.fuzzy(norm)} == labels
 
 
+def test_seeds_lose_no_match_of_a_full_search():
+    """Every notice searched over the whole text, without seeds, gives the same spans."""
+    rng = random.Random(21)
+    notices = tuple(licenses.NOTICES.items())
+    _, compiled = licenses._index(notices)
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += ["".join(rng.choices("abcdefg", k=rng.randint(1, 8))) for _ in range(rng.randint(0, 6))]
+            phrase = list(rng.choice(notices)[0])
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(phrase))
+                phrase[at : at + 1] = rng.choice(("", "x", phrase[at] + "e"))
+            words += "".join(phrase).split()
+        norm = " ".join(words)
+        full = []
+        for pattern, label, length, k, telling in compiled:
+            for m in licenses.matches(pattern, norm, 0, len(norm), length - k):
+                if licenses._told(norm, m.start(), m.end(), telling):
+                    full.append((m.start(), m.end(), label, sum(m.fuzzy_counts), length))
+        assert licenses.fuzzy(norm) == licenses._best(full)
+
+
+def test_license_spans_are_places_of_the_document(spark):
+    text = "Ü: Released  under\nthe MIT licence; released under the **MIT** License.\nALL rights-reserved"
+    (r,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert [(text[s.start : s.end], s.label, s.edits) for s in r.spans] == [("Released  under\nthe MIT licence", "mit", 1), ("released under the **MIT** License", "mit", 0), ("ALL rights-reserved", "reserved", 0)]
+    assert [tuple(b) for b in r.base] == [(11, "reserved")]
+
+
+def test_base_places_take_linear_time():
+    import time
+
+    begun = time.time()
+    assert len(licenses.base_places("cc by " * 200_000)) == 200_000
+    assert time.time() - begun < 3
+
+
 @pytest.mark.parametrize("names", ["layout sidebar-right", "has-sidebar", "no-comments", "legal", "share"])
 def test_html_article_in_a_hinted_wrapper(names):
     prose = "Long plain sentences of a reader who has much to say about it. " * 9
