@@ -8,7 +8,8 @@ and the window's words are then compared with the document's there. Windows whos
 take no part.
 
 Documents are only scanned; what is shuffled are the matches. The benchmark side is broadcast while it has at most
-BROADCAST_WINDOWS windows, a checked bound; beyond, the join is on (shingle) by shuffle and only candidates go on.
+BROADCAST_WINDOWS windows of BROADCAST_BYTES in all, a checked bound; beyond, the join is on (shingle) by shuffle, of the
+positions that pass a bitmap of the benchmark's shingles, and only candidates go on.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from .common import cut_lineage, if_small, table
 WINDOW = 10
 SHINGLE = 5
 BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 64 << 20
+#: Bits of the bitmap of shingles (16 MB), and of one of its rows, which is what Spark's bitmap functions hold.
+BITMAP, ROW = 1 << 27, 1 << 15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,11 +43,11 @@ def _key(array: str, at: Column, k: int) -> Column:
 
 
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(item, w, wid): the windows of each item; wid is a hash of the window's words. Rows without id or words have none."""
-    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("__t")).filter("item is not null").select("item", words("__t").alias("ws")).filter("size(ws) > 0")
+    """(item, w, wid): the windows of each item; wid is the window's words in one string. Rows without words have none."""
+    items = benchmark.select(F.col(id_col).alias("item"), words(text_col).alias("ws")).filter("size(ws) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.size("ws") - size, F.lit(0)))
     cut = items.select("item", "ws", F.explode(starts).alias("s")).select("item", F.slice("ws", F.col("s") + 1, F.lit(size)).alias("w"))
-    return cut.withColumn("wid", F.xxhash64("w")).distinct()
+    return cut.withColumn("wid", F.array_join("w", " ")).distinct()
 
 
 def _shingles(wins: DataFrame, k: int) -> DataFrame:
@@ -71,10 +75,20 @@ def _by_broadcast(docs: DataFrame, prefix: DataFrame, own: list[str], k: int) ->
     return found.select(*own, at.alias("start"), "m", "wid")
 
 
+def _of_bitmap(positions: DataFrame, keys: DataFrame) -> DataFrame:
+    """The positions whose key may be one of keys: its place in a bitmap of fixed size, which is broadcast, is set."""
+    place = F.pmod(F.col("key"), F.lit(BITMAP))
+    at = (place % ROW).cast("int")
+    bitmap = keys.select((place / ROW).cast("int").alias("__row"), (place % ROW).alias("at")).groupBy("__row").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    told = positions.withColumn("__row", (place / ROW).cast("int")).withColumn("__at", at).join(F.broadcast(cut_lineage(bitmap)), "__row")
+    byte = F.ascii(F.decode(F.expr("substring(__bits, __at div 8 + 1, 1)"), "ISO-8859-1"))
+    return told.filter(byte.bitwiseAND(F.expr("shiftleft(1, __at % 8)")) != 0).drop("__row", "__at", "__bits")
+
+
 def _by_shuffle(docs: DataFrame, prefix: DataFrame, own: list[str], k: int) -> DataFrame:
     """For benchmarks too large to broadcast: positions are shuffled as hashes without any words, candidates go back to
     their document once, and only the words under a candidate are compared with the window's."""
-    slim = _positions(docs, k).select(*own, "pos", F.size("ws").alias("n"), "key")
+    slim = _of_bitmap(_positions(docs, k).select(*own, "pos", F.size("ws").alias("n"), "key"), prefix)
     found = slim.join(prefix.select("key", "wid", "off", "m"), "key").filter(_inside(F.col("n")))
     per = found.groupBy(*own).agg(F.collect_set(F.struct((F.col("pos") - F.col("off")).alias("start"), "m", "wid")).alias("c"))
     per = per.select(*[F.col(c).alias(f"__{c}") for c in own], "c")
@@ -86,24 +100,28 @@ def _by_shuffle(docs: DataFrame, prefix: DataFrame, own: list[str], k: int) -> D
 def matches(docs: DataFrame, wins: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs' columns (ws but for) with start, m and wid for every place where a window's words stand in ws."""
     wins = cut_lineage(wins.select("w", "wid").distinct())
-    count, kinds = wins.count(), [r[0] for r in wins.select(F.least(F.size("w"), F.lit(SHINGLE))).distinct().collect()]
-    small, out = count <= broadcast_windows, []
+    count, size = wins.agg(F.count("*"), F.sum(F.octet_length("wid"))).first()
+    kinds = [r[0] for r in wins.select(F.least(F.size("w"), F.lit(SHINGLE))).distinct().collect()]
+    small, out = count <= broadcast_windows and (size or 0) <= BROADCAST_BYTES, []
     own = [c for c in docs.columns if c != "ws"]
     for k in sorted(kinds):
         grams = _shingles(wins, k)
         wanted = grams.select("key").distinct()
-        freq = _positions(docs.select("ws"), k).select("key").join(F.broadcast(wanted) if small else wanted, "key").groupBy("key").agg(F.count("*").alias("n"))
+        keys = _positions(docs.select("ws"), k).select("key")
+        freq = (keys.join(F.broadcast(wanted), "key") if small else _of_bitmap(keys, wanted).join(wanted, "key")).groupBy("key").agg(F.count("*").alias("n"))
         ranked = grams.join(cut_lineage(freq), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         first = ranked.groupBy("wid").agg(F.min_by(F.struct("w", "off", "key", "n"), F.struct("n", "off")).alias("p"))
         prefix = cut_lineage(first.filter("p.n > 0").select("wid", "p.w", "p.off", "p.key").withColumn("m", F.size("w")))
         out.append((_by_broadcast if small else _by_shuffle)(docs, prefix, own, k))
-    return reduce(DataFrame.unionByName, out) if out else docs.drop("ws").limit(0).selectExpr("*", "0 AS start", "0 AS m", "0L AS wid")
+    return reduce(DataFrame.unionByName, out) if out else docs.drop("ws").limit(0).selectExpr("*", "0 AS start", "0 AS m", "'' AS wid")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(id, digest, n_hit, items) for documents with a hit; digest (a hash of the text) tells rows that share an id apart.
 
-    Repeated rows are one row here and match each of themselves when joined back. A null id is an id of its own.
+    Repeated rows are one row here and match each of themselves when joined back. A null id of a document is an id of its own.
+    Items without an id hit words like any other, but can't be listed. No item, no document, or none with words: no rows.
+    Whole texts are read, however long.
     """
     wins = cut_lineage(windows(benchmark, item_col))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), words(text_col).alias("ws"))

@@ -27,14 +27,14 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-OP9 = f"""WITH b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+OP9 = f"""WITH b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
 w AS (SELECT DISTINCT item_id, ws[s : s + {decontaminate.WINDOW - 1}] AS w FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - {decontaminate.WINDOW}, 0) + 2)) AS s FROM b WHERE len(ws) > 0)),
 sizes AS (SELECT DISTINCT len(w) AS n FROM w),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
 p AS (SELECT r, n, i, ws[i : i + n - 1] AS w FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
 h AS (SELECT p.r, p.i, p.n, w.item_id FROM p JOIN w ON w.w = p.w),
 c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY r)
+t AS (SELECT r, count(x) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, coalesce(t.ids, sha256('')) AS items_sha256,
   coalesce(c.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN t ON t.r = d.r"""
 
