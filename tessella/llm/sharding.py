@@ -4,9 +4,10 @@ Within each source rows are put in a seeded random order; a row's fractional ran
 source. Sorted by it, any stretch of rows holds each source in proportion, so the shards cut from the order match the
 mixture, and their counts differ by one at most (law "rows").
 
-No source is ever sorted in one task: ranks come from two levels of hash buckets. A table of counts by (source,
+No source is ever sorted in one task: the seeded hash is cut into ranges (buckets). A table of counts by (source,
 bucket) gives each bucket's first rank, and a row adds its place inside the bucket. Fractional ranks are turned into
-positions likewise. Only ids, sizes and checksums are shuffled, never texts.
+positions likewise. So the order does not depend on the number of buckets. The running sums over buckets are windows of
+rows / 20,000 short rows. Only ids, sizes and checksums are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from .common import buckets_for, cut_lineage, table
 
 SHARDS = 40
 OVERHEAD = 16
+SEED = 17
+#: Bits of the seeded hash, of the first digits of an MD5.
+HASH_BITS = 60
 
 
 def _ranked(rows: DataFrame, group: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
@@ -29,15 +33,15 @@ def _ranked(rows: DataFrame, group: list[str], bucket: str, order: list[str], ou
     return rows.withColumn("__place", place).join(first, [*group, bucket]).withColumn(out, F.col("__first") + F.col("__place")).drop("__first", "__place")
 
 
-def interleave(rows: DataFrame, n: int, shards: int = SHARDS, seed: int = 17) -> DataFrame:
+def interleave(rows: DataFrame, n: int, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """rows (columns id, source, size, crc; n in all) with position (from 0), shard and slot.
 
     A null source is a source of its own. Ties of the seeded hash (repeated rows) go by id, checksum and size. Empty
-    input gives no rows. Fewer rows than shards leave the last shards empty.
+    input gives no rows. Fewer rows than shards leave shards empty between them.
     """
     buckets = buckets_for(n)
-    mixed = F.xxhash64(F.lit(seed), "id", "crc", "size")
-    keyed = rows.withColumn("source", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))).withColumn("__h", mixed).withColumn("__b", F.pmod("__h", F.lit(buckets)))
+    mixed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "crc", "size")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    keyed = rows.withColumn("source", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))).withColumn("__h", mixed).withColumn("__b", F.floor(F.col("__h") / 2.0**HASH_BITS * buckets))
     ranked = _ranked(keyed, ["source"], "__b", ["__h", "id", "crc", "size"], "__rank")
     totals = keyed.groupBy("source").agg(F.count("*").alias("__total"))
     shared = ranked.join(totals, "source").withColumn("__f", (F.col("__rank") + 0.5) / F.col("__total"))
@@ -47,7 +51,7 @@ def interleave(rows: DataFrame, n: int, shards: int = SHARDS, seed: int = 17) ->
     return cut.withColumn("slot", F.expr(f"position - (shard * {n}L + {shards - 1}L) div {shards}L"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each document: id, size (UTF-8 bytes and OVERHEAD; null text: none), checksum, shard and slot.
 
     Null ids and texts are placed like any others; extra columns are ignored.
