@@ -31,8 +31,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of this process only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder of this process, in local mode alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if folder is None:
         folder = _own["dir"] = tempfile.mkdtemp(prefix="tessella-")
         atexit.register(shutil.rmtree, folder, True)
