@@ -139,7 +139,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(id, n_bytes, media, dct_hash, payload_sha256, payload_bytes, tail_crc32) for every row.
 
     media is the PNG; the digests and the hash are of the samples read back from it. Null or empty text: one row of
-    zeros. Equal texts give equal values; other columns are ignored. A reading that differs in size raises.
+    zeros. Empty table: no rows. Whole texts are stored, however long. Equal texts give equal values; other columns are
+    ignored. A reading that differs in size raises.
     """
 
     def kernel(batch: pa.RecordBatch) -> list:

@@ -63,7 +63,8 @@ def encoder(ranks: str | None = None):
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, ranks: str | None = None) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): whole windows from the start and the rest of each document.
 
-    Null text: empty, so one piece of END_ID alone. Repeated rows give repeated pieces.
+    Null text: empty, so one piece of END_ID alone. Repeated rows give repeated pieces. Empty table: no rows. Whole texts
+    are cut, however long; other columns are ignored.
     """
 
     def kernel(batch: pa.RecordBatch) -> list:

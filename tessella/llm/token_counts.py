@@ -29,7 +29,8 @@ MAX_TERMINALS = 600_000
 #: Words of one trie, and characters of text that are counted together.
 CHUNK = 50_000
 SLICE = 2_000_000
-#: Longer pre-tokens are segmented on their own and not kept.
+#: Pre-tokens from this length on are segmented by the same scores on their own and their counts aren't kept: the rows of a trie
+#: are as wide as its longest word, and so the kept ones are bounded in bytes too.
 MAX_KEPT = 200
 
 
@@ -149,9 +150,7 @@ class Counter:
         if len(self.terminal) > self.max_kept:
             self.terminal.clear()
         p, known = self.pieces, self.terminal
-        new = [w for w in words if w not in known]
-        known.update((w, segment(MARK + w, p.scores, p.longest, p.byte_score)) for w in new if len(w) >= MAX_KEPT)
-        new = sorted((w for w in new if len(w) < MAX_KEPT), key=len)
+        new = sorted((w for w in words if w not in known), key=len)
         while new:  # words of like length together: the rows of a trie are as wide as its longest word
             part = [w for w in new[:CHUNK] if len(w) <= 2 * len(new[0]) + 16]
             known.update(zip(part, trie_counts([MARK + w for w in part], p), strict=True))
@@ -159,10 +158,16 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each whole text."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
+        split, p = [t.split() for t in texts], self.pieces
+        distinct = set().union(*split)
+        long = {w: segment(MARK + w, p.scores, p.longest, p.byte_score) for w in distinct if len(w) >= MAX_KEPT}
+        self.learn(distinct - long.keys())
         known = self.terminal
-        return [(len(words), sum(map(known.__getitem__, words))) for words in split]
+        known.update(long)
+        out = [(len(words), sum(map(known.__getitem__, words))) for words in split]
+        for w in long:
+            del known[w]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -184,8 +189,8 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, n_pretokens, n_tokens) for every row. Null or empty text: zeros. Repeated rows get equal counts; other
-    columns are ignored."""
+    """(id, n_pretokens, n_tokens) for every row, from its whole text, however long. Null or empty text: zeros. Empty table: no
+    rows. Repeated rows get equal counts; other columns are ignored."""
 
     def kernel(batch: pa.RecordBatch) -> list:
         counter = _counter(path)
