@@ -49,6 +49,11 @@ def perimeter(ring: Column) -> Column:
     return let(ring, lambda r: _sum(F.transform(edges(r), length)))
 
 
+def perimeter_with_holes(rings: Column) -> Column:
+    """The length of all rings, the holes' too."""
+    return _sum(F.transform(rings, perimeter))
+
+
 def circularity(a: Column, p: Column) -> Column:
     """4 pi A / P^2, zero without a perimeter."""
     return F.when(p > 0, 4 * math.pi * a / (p * p)).otherwise(0.0)

@@ -98,6 +98,22 @@ def missing_keys(present: Column, required: tuple[str, ...] = REQUIRED) -> Colum
     return F.array_except(F.array(*map(F.lit, required)), present)
 
 
+def load_checks(splits: DataFrame, files: DataFrame, datasets: tuple[str, ...], column: str) -> DataFrame:
+    """One row for each check of the listed files (dataset, column, kind): every dataset has files, and some of each part of the
+    split are there (a failure is an error); masks and indexes exist (a failure only warns)."""
+    here = splits.join(files.select("dataset", column).distinct(), column).groupBy("dataset").agg(F.count_distinct("split").alias("parts"))
+    have = files.groupBy("dataset").agg(F.count("*").alias("n"))
+    named = splits.sparkSession.createDataFrame([(d,) for d in datasets], "dataset string")
+    each = named.join(have, "dataset", "left").join(here, "dataset", "left").crossJoin(F.broadcast(splits.agg(F.count_distinct("split").alias("all"))))  # one row
+    found = each.select(F.inline(F.array(
+        F.struct(F.concat(F.lit("files of "), "dataset").alias("check"), (F.coalesce("n", F.lit(0)) > 0).alias("ok"), F.lit(False).alias("warns")),
+        F.struct(F.concat(F.lit("split of "), "dataset").alias("check"), (F.coalesce("parts", F.lit(0)) == F.col("all")).alias("ok"), F.lit(False).alias("warns")),
+    )))
+    kinds = files.agg(F.count_if(F.col("kind") == "mask").alias("masks"), F.count_if(F.col("kind") == "index").alias("indexes"))
+    extra = kinds.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), (F.col(k) > 0).alias("ok"), F.lit(True).alias("warns")) for k in ("masks", "indexes")])))
+    return found.unionByName(extra)
+
+
 def checks(splits: DataFrame, tiles: DataFrame, column: str) -> DataFrame:
     """One row for each check of a dataset against its split: name, ok and whether a failure only warns."""
     shared = overlaps(splits, column).agg((F.sum("shared") == 0).alias("ok")).select(F.lit("disjoint").alias("check"), "ok", F.lit(False).alias("warns"))

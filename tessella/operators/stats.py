@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import recommended_tile
 
 PERCENTILES = (50, 75, 85, 90, 95)
+#: Ranges of values in which a group's rows are counted for its percentiles.
+RANGES = 4096
 
 
 def spread(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
@@ -17,25 +19,54 @@ def spread(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, column: str, by: list[str], points: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row for each group and point. Spark's percentile keeps counts of
-    distinct values, merged from partial aggregates."""
-    got = df.groupBy(*by).agg(F.percentile(column, [p / 100 for p in points]).alias("__v"))
-    pairs = F.arrays_zip(F.array(*map(F.lit, points)).alias("pct"), F.col("__v").alias("value"))
-    return got.select(*by, F.inline(pairs))
+    """Exact percentiles with linear interpolation, one row for each group and point; nulls are left out.
+
+    Values are counted in RANGES equal ranges between a group's extremes, from which follows in which ranges the ranks of the
+    points lie. Only those ranges' distinct values are ordered, each range on its own, so no group is sorted or merged as a
+    whole.
+    """
+    rows = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("__x"))
+    ends = rows.groupBy(*by).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count("*").alias("__n"))
+    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(RANGES - 1), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * RANGES))).otherwise(0)
+    counts = rows.join(F.broadcast(ends) if not by else ends, by).withColumn("__r", at).groupBy(*by, "__r", "__x").agg(F.count("*").alias("__k"))
+    ranges = counts.groupBy(*by, "__r").agg(F.sum("__k").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.withColumn("__first", before).select(*by, "__r", "__first", (F.col("__first") + F.col("__k")).alias("__last"))
+    rank = (F.col("__n") - 1) * F.col("pct") / 100.0
+    wanted = ends.withColumn("pct", F.explode(F.array(*map(F.lit, points)))).withColumn("__rank", rank).withColumn("__low", F.floor(rank)).withColumn("__high", F.ceil(rank))
+    return _at_ranks(counts, placed, wanted, by)
+
+
+def _at_ranks(counts: DataFrame, placed: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """The values at the ranks __low and __high of wanted, interpolated."""
+    need = wanted.select(*by, "pct", F.explode(F.array("__low", "__high")).alias("__at"))
+    spot = need.join(placed, by).filter("__at >= __first AND __at < __last").select(*by, "pct", "__at", "__r", "__first")
+    mine = counts.join(spot.select(*by, "__r").distinct(), [*by, "__r"], "left_semi")
+    upto = F.sum("__k").over(Window.partitionBy(*by, "__r").orderBy("__x"))
+    ordered = mine.withColumn("__upto", upto)
+    met = spot.join(ordered, [*by, "__r"]).filter("__at - __first >= __upto - __k AND __at - __first < __upto").groupBy(*by, "pct", "__at").agg(F.max("__x").alias("__v"))
+    each = wanted.select(*by, "pct", "__rank", "__low", "__high").join(met, [*by, "pct"])
+    low, high = (F.max(F.when(F.col("__at") == F.col(c), F.col("__v"))) for c in ("__low", "__high"))
+    both = each.groupBy(*by, "pct", "__rank", "__low").agg(low.alias("__a"), high.alias("__b"))
+    return both.select(*by, "pct", (F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__rank") - F.col("__low"))).alias("value"))
 
 
 def recommendation(df: DataFrame, column: str, by: list[str], points: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """For each group and percentile: the recommended tile, the share of rows it holds, and how many are covered."""
+    """For each group and percentile: the recommended tile, the share of rows it holds, and how many are covered. Rows meet one
+    row of their group, which holds the tiles of all points, and are counted once."""
     sizes = percentiles(df, column, by, points).withColumn("tile", recommended_tile(F.col("value")))
-    hits = df.join(sizes, by).groupBy(*by, "pct", "value", "tile").agg(F.count("*").alias("n"), F.count_if(F.col(column) <= F.col("tile")).alias("__fit"))
+    tiles = sizes.groupBy(*by).agg(*[F.max(F.when(F.col("pct") == p, F.col("tile"))).alias(f"__t{p}") for p in points])
+    fits = df.join(tiles, by).groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(F.col(column) <= F.col(f"__t{p}")).alias(f"__f{p}") for p in points])
+    hits = fits.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(p).alias("pct"), F.col(f"__f{p}").alias("__fit")) for p in points])).alias("__e")).select(*by, "n", "__e.*")
     covered = F.ceil(F.col("n") * F.col("pct") / 100).cast("bigint")
-    return hits.select(*by, "pct", "value", "tile", "n", (F.col("__fit") * 100.0 / F.col("n")).alias("fit_pct"), covered.alias("covered"), (F.col("n") - covered).alias("incomplete"))
+    return sizes.join(hits, [*by, "pct"]).select(*by, "pct", "value", "tile", "n", (F.col("__fit") * 100.0 / F.col("n")).alias("fit_pct"), covered.alias("covered"), (F.col("n") - covered).alias("incomplete"))
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
-    """Rows of each of bins equal bins from low to high; the last is closed."""
-    at = F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / ((high - low) / bins))).cast("int")
-    return df.filter(F.col(column).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    """Rows of each of bins equal bins from low to high; the last is closed. Values below are in bin -1, values above in bin bins."""
+    x = F.col(column)
+    at = F.when(x < low, -1).when(x > high, bins).otherwise(F.least(F.lit(bins - 1), F.floor((x - low) / ((high - low) / bins)))).cast("int")
+    return df.filter(x.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def trend(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -55,6 +86,12 @@ def class_counts(df: DataFrame, by: str, bucket: Column, names: tuple[str, ...])
     return df.groupBy(by).agg(F.count("*").alias("total"), *[F.count_if(bucket == n).alias(n.lower()) for n in names])
 
 
+def with_empty(counts: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """counts with a row of zeros for each group that has none."""
+    numbers = [c for c in counts.columns if c != by]
+    return groups.select(by).distinct().join(counts, by, "left").na.fill(0, numbers)
+
+
 def text_report(stats: DataFrame, by: str, few: int = 10) -> DataFrame:
     """One line for each percentile row, with a warning for small samples and a conservative size from the maximum."""
     line = F.format_string("P%d: %.2f px -> tile %d (%.1f%% fit)", "pct", "value", "tile", "fit_pct")

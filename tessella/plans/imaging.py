@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..bridge import ANN_SQL, PATCH_SQL, SLIDE, TILE, annotations, patches, slides
 from ..functions import scalars as s
 from ..operators import grid, inference, raster
-from ..sources import sinks
 
 PATCH_STD = 26.0
 CELL = 500
@@ -151,14 +150,6 @@ def _bright(raw: np.ndarray) -> np.ndarray:
     return raster.label_components(raw.reshape(8, 8) > 127).astype(np.uint8)
 
 
-def detections_geojson(spark, sf_dir):
-    """One FeatureCollection for each slide: rectangles with their properties."""
-    a = annotations(spark, sf_dir)
-    props = F.struct(F.col("gid").alias("id"), s.class_name(F.col("raw_class")).alias("class"))
-    f = sinks.feature(sinks.rectangle(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))), props)
-    return sinks.feature_collections(a.withColumn("feature", f), "slide", "gid")
-
-
 def merged_detections(spark, sf_dir):
     """Extension: objects without those whose centre lies in the box of a larger one of the same slide."""
     a = annotations(spark, sf_dir).withColumn("confidence", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
@@ -182,6 +173,5 @@ QUERIES = {
     "canvas_extent": (canvas_extent, CANVAS_EXTENT),
     "overlay": (overlay, OVERLAY),
     "instances": (instances, None),
-    "detections_geojson": (detections_geojson, None),
     "merged_detections": (merged_detections, MERGED_DETECTIONS),
 }

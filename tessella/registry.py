@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analysis, imaging, tiling
+from .plans import analysis, files, imaging, tiling
 
-_ALL = tiling.QUERIES | analysis.QUERIES | imaging.QUERIES
+_ALL = tiling.QUERIES | analysis.QUERIES | imaging.QUERIES | files.QUERIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql is not None}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import class_id, class_name
+from ..operators.assign import dense_ids
 
 RING = "array<array<double>>"
 
@@ -22,9 +23,9 @@ def features(files: DataFrame) -> DataFrame:
 
     A classification is an object with a name, or a scalar (kept as text); without one the class is "unknown".
     """
-    files.createOrReplaceTempView("__tessella_files")
     each = files.sparkSession.sql(
-        "SELECT f.stem, e.pos AS feature_index, e.value AS feature FROM __tessella_files f, LATERAL variant_explode_outer(variant_get(f.doc, '$.features', 'variant')) AS e WHERE e.pos IS NOT NULL"
+        "SELECT f.stem, e.pos AS feature_index, e.value AS feature FROM {files} f, LATERAL variant_explode_outer(variant_get(f.doc, '$.features', 'variant')) AS e WHERE e.pos IS NOT NULL",
+        files=files,
     )
     get = lambda path, kind="string": F.try_variant_get("feature", path, kind)
     scalar = F.when(F.schema_of_variant(F.try_variant_get("feature", "$.properties.classification", "variant")).startswith("OBJECT"), None).otherwise(get("$.properties.classification"))
@@ -48,10 +49,9 @@ def polygons(found: DataFrame, multi: bool = True, least: int = 3) -> DataFrame:
     parts = F.coalesce(one, many) if multi else one
     each = found.select("stem", "feature_index", "kind", "name", "raw_class", "color", F.posexplode(parts).alias("part", "rings"))
     each = each.withColumn("ring", F.get("rings", F.lit(0))).filter(F.size("ring") >= least)
-    from ..operators.assign import sequential_id
-
-    named = each.withColumn("class_name", class_name(F.col("raw_class")))
-    return named.withColumn("class_id", class_id(F.col("class_name"))).withColumn("gid", sequential_id("stem", "feature_index", "part"))
+    named = each.withColumn("class_name", class_name(F.col("raw_class"))).withColumn("class_id", class_id(F.col("class_name")))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dense_ids(named, "stem", ["feature_index", "part"], "gid", parts)
 
 
 def bad_features(found: DataFrame) -> DataFrame:

@@ -30,11 +30,11 @@ def with_png(df: DataFrame, data: str, height: str, width: str, channels: int =
 
 
 def write_blobs(df: DataFrame, folder: str, name: str, blob: str) -> DataFrame:
-    """Write each row's blob as folder/name through Hadoop-independent file output of a mounted path; returns a report.
+    """Write each row's blob as folder/name on any file system that Arrow opens (a path, file:, s3:, gs: or hdfs:), which all
+    executors share; returns a report.
 
-    Writing is repeatable: a task that runs again replaces its files.
+    Names may hold folders. Writing is repeatable: a task that runs again replaces its files, each whole or not at all.
     """
-    import os
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -44,19 +44,27 @@ def write_blobs(df: DataFrame, folder: str, name: str, blob: str) -> DataFrame:
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        from uuid import uuid4
+
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
         for batch in batches:
             names, blobs = batch.column("name").to_pylist(), batch.column("blob").to_pylist()
-            sizes = []
             for n, b in zip(names, blobs, strict=True):
-                path = os.path.join(folder, n)
-                with open(f"{path}.part", "wb") as f:
+                path = f"{base}/{n}"
+                parent = path.rpartition("/")[0]
+                if parent not in made:
+                    files.create_dir(parent, recursive=True)
+                    made.add(parent)
+                part = f"{parent}/.{uuid4().hex}.part"
+                with files.open_output_stream(part) as f:
                     f.write(b)
-                os.replace(f"{path}.part", path)
-                sizes.append(len(b))
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+                files.move(part, path)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([len(b) for b in blobs], pa.int64())], names=["name", "bytes"])
 
-    return df.select(F.col(name).alias("name"), F.col(blob).alias("blob")).mapInArrow(run, "name string, bytes bigint")
+    return df.select(F.col(name).alias("name"), F.col(blob).cast("binary").alias("blob")).mapInArrow(run, "name string, bytes bigint")
 
 
 def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -82,11 +90,24 @@ def feature_collections(features: DataFrame, by: str, order: str, column: str =
     return dealt.groupBy(by, "part").agg(listed.alias("features")).select(by, "part", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("json"))
 
 
-def annotations_documents(registry: DataFrame, by: str = "slide") -> DataFrame:
-    """(slide, json): tiles of each slide with their objects as one nested document."""
-    tiles = F.array_sort(F.collect_list(F.struct("tile_idx", "image", "x0", "y0", "x1", "y1", "objects")))
-    doc = registry.groupBy(by).agg(F.count("*").alias("n_tiles"), tiles.alias("tiles"))
-    return doc.select(by, F.to_json(F.struct("*")).alias("json"))
+def annotations_documents(heads: DataFrame, tiles: DataFrame, coverage: DataFrame, by: str = "slide", per_document: int = PER_DOCUMENT) -> DataFrame:
+    """(by, part, json): the record of each row of heads (its columns lead the document), with the entries of its tiles (columns by,
+    o, entry, in order of o) as a list and those of its objects (columns by, gid, entry) as a map.
+
+    Groups of over per_document entries are dealt over several parts by a hash, so that no document grows with the data.
+    """
+    listed = tiles.select(by, F.lit(1).alias("kind"), F.col("o").cast("bigint").alias("o"), F.to_json("entry").alias("e"))
+    mapped = coverage.select(by, F.lit(0).alias("kind"), F.col("gid").cast("bigint").alias("o"), F.concat(F.lit('"'), "gid", F.lit('":'), F.to_json("entry")).alias("e"))
+    entries = listed.unionByName(mapped)
+    parts = entries.groupBy(by).agg(F.ceil(F.count("*") / per_document).cast("int").alias("parts"))
+    dealt = entries.join(parts, by).withColumn("part", F.pmod(F.xxhash64("kind", "o"), F.col("parts")).cast("int"))
+    held = dealt.groupBy(by, "part").agg(F.array_sort(F.collect_list(F.struct("kind", "o", "e"))).alias("all"))
+    pick = lambda kind: F.array_join(F.transform(F.filter("all", lambda r: r["kind"] == kind), lambda r: r["e"]), ",")
+    whole = heads.join(parts, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    head = F.to_json(F.struct(*heads.columns, "part", "parts"))
+    body = F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"glomeruli_coverage":{'), F.coalesce("c", F.lit("")), F.lit('},"tiles":['), F.coalesce("t", F.lit("")), F.lit("]}"))
+    joined = whole.join(held, [by, "part"], "left").select(by, "part", head.alias("h"), pick(0).alias("c"), pick(1).alias("t"))
+    return joined.select(by, "part", body.alias("json"))
 
 
 def manifest_documents(features: DataFrame, by: str, index: str, entry: Column) -> DataFrame:
@@ -110,8 +131,18 @@ def read_documents(spark, folder: str, schema: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, folder: str, by: str, column: str = "json") -> None:
-    """JSON documents as text, a folder for each group; the committer's _SUCCESS marks completion."""
-    docs.select(by, F.col(column).alias("value")).write.mode("overwrite").partitionBy(by).text(folder)
+    """JSON documents as text, a folder for each group. Only the groups of docs are replaced, and a group's folder appears when all
+    its documents are whole (Spark's commit moves it there), so completed() is what a resumed run may skip."""
+    docs.select(by, F.col(column).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).text(folder)
+
+
+def completed(spark, folder: str, by: str) -> DataFrame:
+    """(by): the groups that write_documents has finished; none if the folder is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{by} string")
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/{by}=([^/]*)/", 1)
+    return spark.read.text(folder).select(F.url_decode(name).alias(by)).distinct()
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
