@@ -84,6 +84,27 @@ def segment(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], keys: list
     return slim.mapInArrow(run, schema)
 
 
+def classifier_input(crop: np.ndarray, mask: np.ndarray, side: int = 128) -> np.ndarray:
+    """(4, side, side) float input of the classifier: a colour crop, resized and standardised as a whole, and its mask (0 or 255)."""
+    rgb = np.clip(resize_linear(crop.astype(np.float64) / 255, side, side), 0, 1)
+    scaled = (rgb - rgb.mean()) / (rgb.std() + 1e-6)
+    return np.concatenate([scaled, resize_linear(mask[:, :, None] / 255, side, side)], axis=2).transpose(2, 0, 1).astype(np.float32)
+
+
+def resize_linear(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear samples of a float image at pixel centres, without smoothing when it shrinks."""
+
+    def spots(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
+        low = np.minimum(at.astype(int), max(0, m - 2))
+        return low, np.minimum(low + 1, m - 1), at - low
+
+    y0, y1, fy = spots(height, a.shape[0])
+    x0, x1, fx = spots(width, a.shape[1])
+    rows = a[y0] * (1 - fy)[:, None, None] + a[y1] * fy[:, None, None]
+    return rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+
+
 def classified(df: DataFrame, logits: str, names: tuple[str, ...]) -> DataFrame:
     """df with class_id, class and confidence; the first of equal scores wins."""
     p = softmax(F.col(logits))

@@ -91,6 +91,12 @@ def canvas_extent(tiles: DataFrame, by: list[str], ratio: float = 1.0, vendor: b
     return tiles.groupBy(*by).agg(side("x0", "x1").alias("width"), side("y0", "y1").alias("height"), F.min("x0").alias("min_x"), F.min("y0").alias("min_y"))
 
 
+def capped_extent(extent: DataFrame, side: int = 8000) -> DataFrame:
+    """canvas_extent() with the sides that capped() gives a canvas."""
+    share = F.least(F.lit(1.0), F.lit(float(side)) / F.greatest("width", "height"))
+    return extent.withColumn("out_width", (F.col("width") * share).cast("int")).withColumn("out_height", (F.col("height") * share).cast("int"))
+
+
 def pyramid(pixels: DataFrame, by: list[str], levels: int) -> DataFrame:
     """(by, level, px, py, value): each level halves the one below by the mean of 2 x 2 pixels (columns px, py, p)."""
     each = pixels.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
@@ -201,8 +207,18 @@ def box_mask(height: int, width: int, y0: int, x0: int, y1: int, x1: int) -> np.
     return out
 
 
-def extract_tile(image: np.ndarray, x: int, y: int, size: int, fill: int = 255) -> np.ndarray:
-    """A size x size x 3 tile from a grey, RGB or RGBA image; beyond the edge it is filled. Alpha is dropped."""
+def on_white(rgba: np.ndarray) -> np.ndarray:
+    """RGB of an RGBA image pasted on white through its alpha."""
+    alpha = rgba[:, :, 3:].astype(np.int64)
+    mixed = rgba[:, :, :3] * alpha + 255 * (255 - alpha) + 128
+    return ((mixed + (mixed >> 8)) >> 8).astype(np.uint8)
+
+
+def extract_tile(image: np.ndarray, x: int, y: int, size: int, fill: int = 255, paste: bool = False) -> np.ndarray:
+    """A size x size x 3 tile from a grey, RGB or RGBA image; beyond the edge it is filled. Alpha is dropped, or with paste the
+    image is pasted on white through it."""
+    if paste and image.ndim == 3 and image.shape[2] == 4:
+        image = on_white(image)
     rgb = np.repeat(image[:, :, None], 3, axis=2) if image.ndim == 2 else image[:, :, :3]
     out = np.full((size, size, 3), fill, np.uint8)
     part = rgb[max(0, y) : y + size, max(0, x) : x + size]
@@ -210,8 +226,9 @@ def extract_tile(image: np.ndarray, x: int, y: int, size: int, fill: int = 255)
     return out
 
 
-def fill_polygon(xs: np.ndarray, ys: np.ndarray, size: int) -> np.ndarray:
-    """Mask (bool) of a polygon by the even-odd rule at pixel centres, its vertices' pixels included."""
+def fill_polygon(xs: np.ndarray, ys: np.ndarray, size: int, outline: bool = False) -> np.ndarray:
+    """Mask (bool) of a polygon by the even-odd rule at pixel centres, its vertices' pixels included; with outline the pixels under
+    its edges too."""
     mask = np.zeros((size, size), bool)
     row = np.arange(size) + 0.5
     x2, y2 = np.roll(xs, -1), np.roll(ys, -1)
@@ -220,12 +237,52 @@ def fill_polygon(xs: np.ndarray, ys: np.ndarray, size: int) -> np.ndarray:
             hit = (row >= min(b, d)) & (row < max(b, d))
             at = a + (row - b) * (c - a) / (d - b)
             mask ^= hit[:, None] & (row[None, :] >= at[:, None])
-    vx, vy = xs.astype(int), ys.astype(int)
+    vx, vy = xs, ys
+    if outline:
+        steps = [np.linspace(0, 1, int(max(abs(c - a), abs(d - b))) + 1) for a, b, c, d in zip(xs, ys, x2, y2, strict=True)]
+        vx = np.concatenate([np.rint(a + t * (c - a)) for a, c, t in zip(xs, x2, steps, strict=True)])
+        vy = np.concatenate([np.rint(b + t * (d - b)) for b, d, t in zip(ys, y2, steps, strict=True)])
+    vx, vy = vx.astype(int), vy.astype(int)
     ok = (vx >= 0) & (vx < size) & (vy >= 0) & (vy < size)
     mask[vy[ok], vx[ok]] = True
     return mask
 
 
+def training_mask(xs: np.ndarray, ys: np.ndarray, box: tuple[int, int, int, int], size: int, zoom: float) -> np.ndarray:
+    """Mask (bool) of a polygon in a tile: clipped to the tile's box, scaled, cut to whole pixels, filled with its outline."""
+    for axis, bound, low in ((0, box[0], False), (0, box[2], True), (1, box[1], False), (1, box[3], True)):
+        points = np.stack([xs, ys], axis=1).astype(float)
+        after = np.roll(points, -1, axis=0)
+        inside = points[:, axis] <= bound if low else points[:, axis] >= bound
+        out = []
+        for p, q, here, there in zip(points, after, inside, np.roll(inside, -1), strict=True):
+            out += [p] if here else []
+            if here != there:
+                cut = p + (bound - p[axis]) / (q[axis] - p[axis]) * (q - p)
+                cut[axis] = bound
+                out.append(cut)
+        if len(out) < 3:
+            return np.zeros((size, size), bool)
+        xs, ys = np.array(out).T
+    return fill_polygon(np.trunc((xs - box[0]) * zoom), np.trunc((ys - box[1]) * zoom), size, outline=True)
+
+
+def inference_mask(xs: np.ndarray, ys: np.ndarray, x: int, y: int, native: int, size: int) -> np.ndarray:
+    """Mask (bool) of a polygon in an inference tile: each point moved into the native tile, filled there, then resized to size by
+    nearest pixels."""
+    cx, cy = (np.clip(np.asarray(v, float) - o, 0, native) for v, o in ((xs, x), (ys, y)))
+    whole = fill_polygon(cx, cy, native, outline=True) if len(cx) >= 3 else np.zeros((native, native), bool)
+    return whole if size == native else resize_nearest(whole, size, size)
+
+
+def capped(a: np.ndarray, side: int = 8000) -> np.ndarray:
+    """An image whose longer side is over side, shrunk to it with its aspect kept."""
+    longest = max(a.shape[:2])
+    if longest <= side:
+        return a
+    return resize(a, max(1, int(a.shape[0] * side / longest)), max(1, int(a.shape[1] * side / longest)))
+
+
 def label_components(mask: np.ndarray) -> np.ndarray:
     """4-connected components of a mask, numbered from 1 in reading order of their first pixel."""
     h, w = mask.shape

@@ -218,13 +218,13 @@ PRODUCTION_TOTALS = f"WITH seg AS ({SEG_SQL}) SELECT count(DISTINCT biopsy) AS g
 
 
 def softmax_argmax(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("logits"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("logits"))
     p = e.select("vec_id", s.softmax(F.col("logits")).alias("p"), F.col("logits"))
     return p.select("vec_id", s.argmax(F.col("logits")).alias("class_id"), F.round(F.array_max("p"), 6).alias("confidence"), (s.sigmoid(F.get("logits", F.lit(0)).cast("double")) > 0.5).alias("positive"))
 
 
-SOFTMAX_ARGMAX = """WITH l AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings),
-x AS (SELECT vec_id, l, list_max(l) AS m, exp(l[1]) + exp(l[2]) + exp(l[3]) + exp(l[4]) AS z FROM l)
+SOFTMAX_ARGMAX = """WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings),
+x AS (SELECT vec_id, l, list_max(l) AS m, list_sum(list_transform(l, lambda v: exp(v))) AS z FROM l)
 SELECT vec_id, CAST(list_position(l, m) - 1 AS INTEGER) AS class_id, round(exp(m) / z, 6) AS confidence, 1 / (1 + exp(-l[1])) > 0.5e0 AS positive FROM x"""
 
 

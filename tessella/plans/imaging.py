@@ -74,9 +74,9 @@ MASK_COMPOSE_MAX = f"WITH {CELLS_SQL} SELECT slide, cx, cy, max(gray) AS gray FR
 
 def tissue_filter(spark, sf_dir):
     """Tiles by the share of mask cells that hold an object, and both tilers' rules for keeping them."""
-    mask = raster.compose_max(_cells(spark, sf_dir).filter("slide < 10"), ["slide", "cx", "cy"], "gray")
+    mask = raster.compose_max(_cells(spark, sf_dir), ["slide", "cx", "cy"], "gray")
     side = SLIDE // CELL
-    lattice = slides(spark).filter("slide < 10").select("slide", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("cx")).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    lattice = slides(spark).select("slide", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("cx")).withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     cells = lattice.join(mask, ["slide", "cx", "cy"], "left").select("slide", "cx", "cy", F.coalesce((F.col("gray") > 0).cast("int"), F.lit(0)).alias("flag"))
     tiles = grid.training_grid(slides(spark), TILE, TILE).select("slide", "tile_idx", "x0", "y0", "x1", "y1")
     kept = raster.tissue_ratio(cells, tiles, CELL, ["slide"], 0.1)
@@ -85,7 +85,7 @@ def tissue_filter(spark, sf_dir):
     return kept.select("slide", "tile_idx", F.round("ratio", 6).alias("ratio"), "keep", raster.keep_training(annotated, F.col("keep"), flat).alias("training"), raster.keep_inference(F.col("keep"), flat).alias("inference"))
 
 
-TISSUE_FILTER = f"""WITH {CELLS_SQL}, m AS (SELECT DISTINCT slide, cx, cy FROM cells WHERE slide < 10),
+TISSUE_FILTER = f"""WITH {CELLS_SQL}, m AS (SELECT DISTINCT slide, cx, cy FROM cells),
 ax AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, {SLIDE // CELL})), tx AS (SELECT range AS i FROM range(0, 9)),
 t AS (SELECT CAST(row_number() OVER (ORDER BY pr, y, x) - 1 AS INTEGER) AS tile_idx, x, y FROM (
   SELECT 0 AS pr, a.i * {TILE} AS x, b.i * {TILE} AS y FROM tx a, tx b UNION ALL SELECT 1, {SLIDE - TILE}, b.i * {TILE} FROM tx b
@@ -94,7 +94,7 @@ s AS (SELECT range AS slide FROM range(0, 20)),
 r AS (SELECT s.slide, t.tile_idx, avg(CASE WHEN m.slide IS NULL THEN 0e0 ELSE 1e0 END) AS ratio FROM s JOIN t ON true
   JOIN ax a ON a.i BETWEEN x // {CELL} AND greatest(x // {CELL}, (x + {TILE}) // {CELL} - 1) JOIN ax b ON b.i BETWEEN y // {CELL} AND greatest(y // {CELL}, (y + {TILE}) // {CELL} - 1)
   LEFT JOIN m ON m.slide = s.slide AND m.cx = a.i AND m.cy = b.i GROUP BY s.slide, t.tile_idx),
-kept AS (SELECT slide, tile_idx, CASE WHEN slide < 10 THEN round(ratio, 6) END AS ratio, slide >= 10 OR ratio >= 0.1e0 AS keep FROM r)
+kept AS (SELECT slide, tile_idx, round(ratio, 6) AS ratio, ratio >= 0.1e0 AS keep FROM r)
 SELECT *, tile_idx % 2 = 0 OR (keep AND tile_idx % 5 <> 0) AS training, keep AND tile_idx % 5 <> 0 AS inference FROM kept"""
 
 
@@ -121,10 +121,12 @@ SELECT vec_id, level, CAST((i % 8) >> level AS INTEGER) AS px, CAST((i // 8) >>
 
 def canvas_extent(spark, sf_dir):
     a = annotations(spark, sf_dir)
-    return raster.canvas_extent(a, ["slide"], 0.5)
+    return raster.capped_extent(raster.canvas_extent(a, ["slide"], 0.5))
 
 
-CANVAS_EXTENT = f"WITH ann AS ({ANN_SQL}) SELECT slide, CAST(trunc((max(x1) - min(x0)) * 0.5e0) AS INTEGER) AS width, CAST(trunc((max(y1) - min(y0)) * 0.5e0) AS INTEGER) AS height, min(x0) AS min_x, min(y0) AS min_y FROM ann GROUP BY slide"
+CANVAS_EXTENT = f"""WITH ann AS ({ANN_SQL}), c AS (SELECT slide, CAST(trunc((max(x1) - min(x0)) * 0.5e0) AS INTEGER) AS width, CAST(trunc((max(y1) - min(y0)) * 0.5e0) AS INTEGER) AS height,
+  min(x0) AS min_x, min(y0) AS min_y FROM ann GROUP BY slide)
+SELECT *, CAST(trunc(width * least(1e0, 8000e0 / greatest(width, height))) AS INTEGER) AS out_width, CAST(trunc(height * least(1e0, 8000e0 / greatest(width, height))) AS INTEGER) AS out_height FROM c"""
 
 
 def overlay(spark, sf_dir):
@@ -146,6 +148,14 @@ def instances(spark, sf_dir):
     return raster.instances(each.select("vec_id", "label", (F.col("i") % 8).alias("px"), F.floor(F.col("i") / 8).cast("int").alias("py")), ["vec_id"], least=3)
 
 
+INSTANCES = f"""WITH RECURSIVE p AS ({PATCH_SQL}), e AS (SELECT vec_id, unnest(pixels) AS v, CAST(unnest(range(0, 64)) AS INTEGER) AS i FROM p), b AS (SELECT vec_id, i FROM e WHERE v > 127),
+n AS (SELECT a.vec_id, a.i, c.i AS j FROM b a JOIN b c ON c.vec_id = a.vec_id AND ((a.i // 8 = c.i // 8 AND abs(a.i - c.i) = 1) OR abs(a.i - c.i) = 8)),
+r AS (SELECT vec_id, i, i AS j FROM b UNION SELECT r.vec_id, r.i, n.j FROM r JOIN n ON n.vec_id = r.vec_id AND n.i = r.j),
+l AS (SELECT vec_id, i, min(j) AS root FROM r GROUP BY vec_id, i), k AS (SELECT vec_id, i, CAST(dense_rank() OVER (PARTITION BY vec_id ORDER BY root) AS INTEGER) AS label FROM l)
+SELECT vec_id, label, count(*) AS area, CAST(min(i % 8) AS INTEGER) AS x_min, CAST(max(i % 8) AS INTEGER) AS x_max, CAST(min(i // 8) AS INTEGER) AS y_min, CAST(max(i // 8) AS INTEGER) AS y_max
+FROM k GROUP BY vec_id, label HAVING count(*) >= 3"""
+
+
 def _bright(raw: np.ndarray) -> np.ndarray:
     return raster.label_components(raw.reshape(8, 8) > 127).astype(np.uint8)
 
@@ -172,6 +182,6 @@ QUERIES = {
     "pyramid_levels": (pyramid_levels, PYRAMID_LEVELS),
     "canvas_extent": (canvas_extent, CANVAS_EXTENT),
     "overlay": (overlay, OVERLAY),
-    "instances": (instances, None),
+    "instances": (instances, INSTANCES),
     "merged_detections": (merged_detections, MERGED_DETECTIONS),
 }

@@ -72,7 +72,7 @@ FROM assigned GROUP BY slide, class_name"""
 
 
 def tile_registry_roles(spark, sf_dir):
-    """Objects of each tile with role and coverage, as one sorted list a tile.
+    """Objects of each tile by role, their coverage, and a digest of them that is a sum, so that partial aggregates merge.
 
     The primary tile is the pair of largest coverage, so one shuffle by object gives roles without a second join.
     """
@@ -81,11 +81,9 @@ def tile_registry_roles(spark, sf_dir):
     own = F.when(F.get("o", F.lit(0))["c"] <= -assign.MIN_COVERAGE, F.get("o", F.lit(0))["i"])
     each = best.withColumn("own", own).select("slide", "gid", "own", F.explode("o").alias("p"))
     role = F.when(F.col("p.i") == F.col("own"), "primary").otherwise("secondary")
-    item = F.concat_ws(":", F.format_string("%010d", "gid"), role)
-    return (
-        each.groupBy("slide", F.col("p.i").alias("tile_idx"))
-        .agg(F.count("*").alias("n_objects"), F.count_if(role == "primary").alias("n_primary"), F.round(F.sum(-F.col("p.c")), 4).alias("coverage"), F.array_sort(F.collect_list(item)).alias("o"))
-        .select("slide", "tile_idx", "n_objects", "n_primary", "coverage", F.md5(F.array_join("o", ",")).alias("objects_md5"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.format_string("%010d", "gid"), role)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return each.groupBy("slide", F.col("p.i").alias("tile_idx")).agg(
+        F.count("*").alias("n_objects"), F.count_if(role == "primary").alias("n_primary"), F.round(F.sum(-F.col("p.c")), 4).alias("coverage"), F.sum(digest).cast("string").alias("objects_digest")
     )
 
 
@@ -93,7 +91,7 @@ TILE_REGISTRY_ROLES = f"""WITH {PAIRS_SQL},
 roles AS (SELECT r.slide, r.tile_idx, r.gid, r.coverage, CASE WHEN r.tile_idx = a.primary_tile THEN 'primary' ELSE 'secondary' END AS role
   FROM ranked r JOIN assigned a ON a.slide = r.slide AND a.gid = r.gid)
 SELECT slide, tile_idx, count(*) AS n_objects, count_if(role = 'primary')::BIGINT AS n_primary, round(sum(coverage), 4) AS coverage,
-  md5(string_agg(printf('%010d', gid) || ':' || role, ',' ORDER BY gid)) AS objects_md5 FROM roles GROUP BY slide, tile_idx"""
+  CAST(sum(CAST('0x' || substr(md5(printf('%010d', gid) || ':' || role), 1, 15) AS HUGEINT)) AS VARCHAR) AS objects_digest FROM roles GROUP BY slide, tile_idx"""
 
 INFERENCE_STRIDE, INFERENCE_TILE = 1536, 2048
 
@@ -228,9 +226,8 @@ def polygon_coverage(spark, sf_dir):
     """Concave polygons against training tiles: boxes are joined first, then the exact share is clipped."""
     tiles = grid.training_grid(slides(spark), TILE, TILE).drop("width", "height")
     pairs = grid.box_join(polygons(spark, sf_dir), tiles, TILE, inclusive=False, keys=("slide",), small_tiles=N_TILES)
-    cov = g.coverage_pct(F.col("ring"), *(F.col(c).cast("double") for c in ("tx0", "ty0", "tx1", "ty1")))
-    # A filter would be pushed below the projection and compute the share twice.
-    return pairs.select("slide", "gid", "tile_idx", F.explode(F.filter(F.array(F.round(cov, 4)), lambda c: c > 0)).alias("coverage"))
+    shares = g.with_coverage(pairs, "ring", ("tx0", "ty0", "tx1", "ty1"), ["slide", "gid", "tile_idx"])
+    return shares.withColumn("coverage", F.round("coverage", 4)).filter("coverage > 0")
 
 
 def _clip_sql(source: str, name: str, axis: int, bound: str, sign: str) -> str:

@@ -141,8 +141,7 @@ def completed(spark, folder: str, by: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], f"{by} string")
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/{by}=([^/]*)/", 1)
-    return spark.read.text(folder).select(F.url_decode(name).alias(by)).distinct()
+    return spark.read.schema(f"value string, {by} string").text(folder).select(by).distinct()
 
 
 def write_csv(df: DataFrame, folder: str) -> None:

@@ -353,3 +353,66 @@ def test_entry_stands_without_the_optional_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 40 and not any(q[:2] == 'op' for q in e.queries()); print(len(e.oracle_sql()))"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True).returncode == 0
+
+
+def test_masks_of_both_tilers():
+    xs, ys = np.array([-5.0, 30.0, 30.0, -5.0]), np.array([4.0, 4.0, 12.0, 12.0])
+    made = raster.training_mask(xs, ys, (0, 0, 20, 20), 10, 0.5)
+    want = np.zeros((10, 10), bool)
+    want[2:7, :] = True
+    assert (made == want).all()
+    assert not raster.training_mask(xs + 100, ys, (0, 0, 20, 20), 10, 0.5).any()
+    moved = raster.inference_mask(np.array([102.0, 130.0, 110.0]), np.array([203.0, 203.0, 240.0]), 100, 200, 20, 20)
+    assert moved[3, 2:].all() and moved[19, 10:20].any() and not moved[:3].any()
+    assert raster.inference_mask(np.array([102.0, 130.0, 110.0]), np.array([203.0, 203.0, 240.0]), 100, 200, 20, 10).shape == (10, 10)
+
+
+def test_alpha_paste_canvas_cap_and_classifier_input():
+    from tessella.operators import inference
+
+    rgba = np.zeros((2, 2, 4), np.uint8)
+    rgba[0, 0], rgba[0, 1], rgba[1, 0] = (10, 20, 30, 255), (10, 20, 30, 0), (0, 100, 200, 128)
+    tile = raster.extract_tile(rgba, 0, 0, 3, paste=True)
+    assert tile[0, 0].tolist() == [10, 20, 30] and tile[0, 1].tolist() == [255] * 3 and tile[1, 0].tolist() == [127, 177, 227] and tile[2, 2].tolist() == [255] * 3
+    assert raster.extract_tile(rgba, 0, 0, 2)[0, 1].tolist() == [10, 20, 30]
+    assert raster.capped(np.zeros((30, 90), np.uint8), 45).shape == (15, 45) and raster.capped(np.zeros((3, 9)), 45).shape == (3, 9)
+    crop = np.random.default_rng(1).integers(0, 256, (50, 70, 3), dtype=np.uint8)
+    mask = np.zeros((50, 70), np.uint8)
+    mask[10:40, 20:60] = 255
+    made = inference.classifier_input(crop, mask)
+    assert made.shape == (4, 128, 128) and abs(made[:3].mean()) < 1e-4 and abs(made[:3].std() - 1) < 1e-3 and set(np.unique(made[3][:20])) == {0.0} and made[3][64, 64] == 1
+
+
+def test_resumed_documents_keep_what_is_done(spark, tmp_path):
+    folder = str(tmp_path / "slides")
+    assert sinks.completed(spark, folder, "slide").collect() == []
+    docs = spark.createDataFrame([("s1", "{}"), ("s2", "{}"), ("s 3/x", "{}")], "slide string, json string")
+    sinks.write_documents(docs.filter("slide <> 's2'"), folder, "slide")
+    done = sinks.completed(spark, folder, "slide")
+    assert {r.slide for r in done.collect()} == {"s1", "s 3/x"}
+    from tessella.operators import splits
+
+    sinks.write_documents(splits.not_done(docs, done, "slide"), folder, "slide")
+    assert {r.slide for r in sinks.completed(spark, folder, "slide").collect()} == {"s1", "s2", "s 3/x"}
+    assert sinks.read_documents(spark, folder, "a int").count() == 3
+
+
+def test_percentiles_by_ranges_equal_sorting(spark):
+    from tessella.operators import stats
+
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=999), "b": np.r_[np.zeros(500), 1e9, -3.5], "c": np.array([7.0]), "d": np.repeat([1.0, 2.0], 50)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("e", None)], "k string, v double")
+    got = {(r.k, r.pct): r.value for r in stats.percentiles(df, "v", ["k"], (0, 5, 50, 95, 100)).collect()}
+    assert got == pytest.approx({(k, p): float(np.percentile(v, p)) for k, v in values.items() for p in (0, 5, 50, 95, 100)})
+
+
+def test_annotation_records_of_many_parts(spark):
+    heads = spark.createDataFrame([("s", 5), ("t", 6)], "slide string, width int")
+    tiles = spark.range(30).selectExpr("'s' AS slide", "id AS o", "named_struct('n', id) AS entry")
+    objects = spark.range(8).selectExpr("'s' AS slide", "id AS gid", "named_struct('class', 'x') AS entry")
+    docs = [(r.slide, json.loads(r.json)) for r in sinks.annotations_documents(heads, tiles, objects, per_document=10).collect()]
+    mine = [d for s, d in docs if s == "s"]
+    assert len(mine) == 4 and all(d["width"] == 5 and d["parts"] == 4 for d in mine)
+    assert sorted(t["n"] for d in mine for t in d["tiles"]) == list(range(30)) and sorted(k for d in mine for k in d["glomeruli_coverage"]) == [str(i) for i in range(8)]
+    assert [d for s, d in docs if s == "t"] == [{"slide": "t", "width": 6, "part": 0, "parts": 1, "glomeruli_coverage": {}, "tiles": []}]
