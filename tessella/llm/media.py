@@ -126,10 +126,13 @@ def _means(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def low_frequency_hash(samples: np.ndarray) -> bytes:
-    """64 bits of the signs of low cosine frequencies against their median; the first bit (the mean) is zero."""
+    """64 bits of the signs of low cosine frequencies against their median; the first bit (the mean) is zero.
+
+    Frequencies are rounded to six places, so that those that are zero but for rounding errors are ties and give zeros.
+    """
     grid = _means(_means(samples, GRID).T, GRID).T
     c = _cosines()
-    flat = (c @ grid @ c.T).ravel()
+    flat = np.round(c @ grid @ c.T, 6).ravel()
     bits = flat > np.median(flat[1:])
     bits[0] = False
     return np.packbits(bits).tobytes()

@@ -124,6 +124,58 @@ def test_op6_round_trip(result):
         assert (r["media_bytes"], r["media_sha256"]) == (len(blob), hashlib.sha256(blob).hexdigest())
 
 
+def read_png(blob):
+    """Samples of a grey PNG by the format's own description, byte by byte."""
+    assert blob[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, width, height, data = 8, 0, 0, b""
+    while at < len(blob):
+        n, kind = int.from_bytes(blob[at : at + 4], "big"), blob[at + 4 : at + 8]
+        body = blob[at + 8 : at + 8 + n]
+        assert int.from_bytes(blob[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, rows = zlib.decompress(data), []
+    for y in range(height):
+        line = raw[y * (width + 1) : (y + 1) * (width + 1)]
+        row = []
+        for x, v in enumerate(line[1:]):
+            left, up = row[x - 1] if x else 0, rows[y - 1][x] if y else 0
+            row.append((v + {0: 0, 1: left, 2: up}[line[0]]) % 256)
+        rows.append(row)
+    return rows
+
+
+def plain_hash(rows, grid=32, low=8):
+    """Area means by overlaps and the cosine transform by its sums."""
+    def means(values):
+        n, out = len(values), []
+        for i in range(grid):
+            a, b = i * n / grid, (i + 1) * n / grid
+            out.append(sum(max(0.0, min(b, j + 1) - max(a, j)) * values[j] for j in range(int(a), min(n, int(b) + 1))) / (b - a))
+        return out
+
+    tall = [means(list(c)) for c in zip(*rows, strict=True)]
+    cells = [means(list(r)) for r in zip(*tall, strict=True)]
+    cos = [[np.cos(np.pi * (2 * x + 1) * k / (2 * grid)) for x in range(grid)] for k in range(low)]
+    flat = [round(sum(cos[i][y] * cells[y][x] * cos[j][x] for y in range(grid) for x in range(grid)), 6) for i in range(low) for j in range(low)]
+    middle = sorted(flat[1:])[31]
+    bits = "0" + "".join(str(int(v > middle)) for v in flat[1:])
+    return f"{int(bits, 2):016x}"
+
+
+def test_op6_by_a_plain_reader_and_transform(result):
+    for r in sorted(result("op6_"), key=lambda r: r["n_bytes"])[:60:6]:
+        raw = texts()[r["doc_id"]].encode()
+        body = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
+        blob = media.encode_png(np.frombuffer(body, np.uint8).reshape(-1, 64))
+        rows = read_png(blob)
+        assert bytes(v for row in rows for v in row) == body
+        assert r["media_sha256"] == hashlib.sha256(blob).hexdigest() and r["feature"] == plain_hash(rows)
+
+
 def test_op7_pieces(result):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -83,6 +83,20 @@ def test_stages_keep_columns_and_stand_edges(spark, docs, nothing, sf_dir, empty
         assert any(r.text == "x" * 300_000 for r in kept)
 
 
+def test_packing_stage_and_whole_pipeline_stand_edges(spark, docs, nothing, sf_dir, empty_dir):
+    import corpus_pipeline
+
+    assert packing.stage(spark, nothing, empty_dir).collect() == []
+    packed = packing.stage(spark, docs, sf_dir).collect()
+    tokens = {}
+    for r in packed:
+        tokens.setdefault((r.doc_id, r.doc_tokens), []).append(r.length)
+    assert {i for i, _ in tokens} == {r[0] for r in rows()} and all(sum(parts) % n == 0 for (_, n), parts in tokens.items())
+    assert corpus_pipeline.run(spark, empty_dir).collect() == []
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} <= {r[0] for r in rows()}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "decontamination", "secret_scan", "packing"]
+
+
 def test_simhash_ties_and_copies(spark, docs):
     got = simhash.near_duplicates(docs).collect()
     zero = {r.component_id for r in got if r.fp == 0}
