@@ -336,7 +336,11 @@ def _copies(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     posts = made.select("key", "bands").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "code"))
     shared = posts.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1")
     live = cut_lineage(posts.join(shared.hint("merge"), "code"))
-    facts = cut_lineage(_facts(texts.select("key", "__t").join(live.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), shingle))
+    # One row of each text: copies don't meet in a task.
+    one = made.groupBy("key").agg(F.min("__id").alias("least")).join(live.select("key").distinct(), "key", "left_semi")
+    one = if_small(cut_lineage(one.withColumnRenamed("key", "mine")))
+    some = texts.join(one, (F.col("key") == F.col("mine")) & F.col("__id").eqNullSafe(F.col("least")), "left_semi")
+    facts = cut_lineage(_facts(some.select("key", "__t").dropDuplicates(["key"]), shingle))
     live = live.withColumn("c", F.col("key"))
     lists, near = live.filter(F.col("n") <= HOT_LIST).select("*", F.lit(False).alias("big"), F.col("n").alias("n_rest"), F.lit(0).cast("bigint").alias("n_big")), []
     if not live.filter(F.col("n") > HOT_LIST).isEmpty():
