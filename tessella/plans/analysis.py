@@ -229,14 +229,14 @@ SELECT vec_id, CAST(list_position(l, m) - 1 AS INTEGER) AS class_id, round(exp(m
 
 
 def slide_formats(spark, sf_dir):
-    """Reader of a file by extension and size, over paths made from the pages' ids."""
+    """Reader of a file by extension and size, over paths made from the pages' ids; the pages' bytes, times a factor, are the size."""
     p = table(spark, sf_dir, "pages")
     ext = F.get(F.array(*map(F.lit, ("tif", "TIFF", "svs", "ndpi", "png", "jpeg", "txt"))), (F.col("page_id") % 7).cast("int"))
-    named = p.select(F.concat(F.lit("slides/s"), "page_id", F.lit("."), ext).alias("path"), (F.col("page_id") % 3 * 157286400).alias("length"))
+    named = p.select(F.concat(F.lit("slides/s"), "page_id", F.lit("."), ext).alias("path"), (F.octet_length("html").cast("bigint") * 60000).alias("length"))
     return named.groupBy(s.slide_format(F.col("path"), F.col("length")).alias("format")).agg(F.count("*").alias("n"), F.round(F.sum(s.memory_gb(F.col("length"))), 6).alias("memory_gb"))
 
 
-SLIDE_FORMATS = """WITH p AS (SELECT page_id % 7 AS e, page_id % 3 * 157286400 AS length FROM pages)
+SLIDE_FORMATS = """WITH p AS (SELECT page_id % 7 AS e, CAST(octet_length(encode(html)) AS BIGINT) * 60000 AS length FROM pages)
 SELECT CASE WHEN e IN (0, 1) THEN CASE WHEN length > 314572800 THEN 'openslide' ELSE 'pil' END WHEN e IN (2, 3) THEN 'openslide' WHEN e IN (4, 5) THEN 'pil' END AS format,
   count(*) AS n, round(sum(length / 1073741824e0 * 5), 6) AS memory_gb FROM p GROUP BY 1"""
 

@@ -130,24 +130,34 @@ GLOM_TILE_INDEX = f"""WITH {INFERENCE_SQL} SELECT a.slide, a.gid, CAST(count(p.t
 FROM ann a LEFT JOIN pairs p ON p.slide = a.slide AND p.gid = a.gid GROUP BY a.slide, a.gid"""
 
 
+def _sheets(spark, sf_dir) -> DataFrame:
+    """One image for each supplier, some smaller than a tile: slide, width, height."""
+    side = lambda least, parts, step: (F.lit(least) + F.col("s_suppkey") % parts * step).cast("int")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("slide"), side(1500, 23, 517).alias("width"), side(1700, 17, 431).alias("height"))
+
+
+SHEETS_SQL = "sheets AS (SELECT s_suppkey AS slide, CAST(1500 + s_suppkey % 23 * 517 AS INTEGER) AS w, CAST(1700 + s_suppkey % 17 * 431 AS INTEGER) AS h FROM supplier)"
+
+
 def grid_training(spark, sf_dir):
-    one = spark.range(1).select(F.lit(5000).alias("width"), F.lit(3000).alias("height"))
-    return grid.training_grid(one, TILE, TILE).select("tile_idx", "x0", "y0", "x1", "y1")
+    return grid.training_grid(_sheets(spark, sf_dir), TILE, TILE).select("slide", "tile_idx", "x0", "y0", "x1", "y1")
 
 
-GRID_TRAINING = """SELECT CAST(row_number() OVER (ORDER BY pr, y, x) - 1 AS INTEGER) AS tile_idx, x AS x0, y AS y0, x + 2048 AS x1, y + 2048 AS y1
-FROM (VALUES (0, 0, 0), (0, 2048, 0), (1, 2952, 0), (2, 0, 952), (2, 2048, 952), (3, 2952, 952)) v(pr, x, y)"""
+GRID_TRAINING = f"""WITH {SHEETS_SQL}, fit AS (SELECT * FROM sheets WHERE w >= {TILE} AND h >= {TILE}),
+xs AS (SELECT slide, CAST(unnest(range(0, w - {TILE} + 1, {TILE})) AS INTEGER) AS x, 0 AS e FROM fit UNION ALL SELECT slide, w - {TILE}, 1 FROM fit WHERE w % {TILE} <> 0),
+ys AS (SELECT slide, CAST(unnest(range(0, h - {TILE} + 1, {TILE})) AS INTEGER) AS y, 0 AS e FROM fit UNION ALL SELECT slide, h - {TILE}, 1 FROM fit WHERE h % {TILE} <> 0)
+SELECT xs.slide, CAST(row_number() OVER (PARTITION BY xs.slide ORDER BY xs.e + 2 * ys.e, y, x) - 1 AS INTEGER) AS tile_idx, x AS x0, y AS y0, x + {TILE} AS x1, y + {TILE} AS y1 FROM xs JOIN ys ON ys.slide = xs.slide"""
 
 
 def grid_inference(spark, sf_dir):
-    one = spark.range(1).select(F.lit("s1").alias("stem"), F.lit(5000).alias("width"), F.lit(3000).alias("height"))
-    t = grid.inference_grid(one, INFERENCE_TILE, INFERENCE_STRIDE)
-    return t.select("tile_idx", s.tile_name(F.col("stem"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("name"))
+    t = grid.inference_grid(_sheets(spark, sf_dir), INFERENCE_TILE, INFERENCE_STRIDE)
+    return t.select("slide", "tile_idx", s.tile_name(F.concat(F.lit("s"), "slide"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("name"))
 
 
-GRID_INFERENCE = """SELECT CAST(b.i * 4 + a.i AS INTEGER) AS tile_idx,
-  printf('s1_tile_x%05d_y%05d_endx%05d_endy%05d', a.i * 1536, b.i * 1536, least(a.i * 1536 + 2048, 5000), least(b.i * 1536 + 2048, 3000)) AS name
-FROM (SELECT range AS i FROM range(0, 4)) a, (SELECT range AS i FROM range(0, 2)) b"""
+GRID_INFERENCE = f"""WITH {SHEETS_SQL}, xs AS (SELECT slide, w, h, CAST(unnest(range(0, w, {INFERENCE_STRIDE})) AS INTEGER) AS x FROM sheets),
+xy AS (SELECT slide, w, h, x, CAST(unnest(range(0, h, {INFERENCE_STRIDE})) AS INTEGER) AS y FROM xs)
+SELECT slide, CAST(row_number() OVER (PARTITION BY slide ORDER BY y, x) - 1 AS INTEGER) AS tile_idx,
+  's' || slide || printf('_tile_x%05d_y%05d_endx%05d_endy%05d', x, y, least(x + {INFERENCE_TILE}, w), least(y + {INFERENCE_TILE}, h)) AS name FROM xy"""
 
 
 def tile_name_roundtrip(spark, sf_dir):
