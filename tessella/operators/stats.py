@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import recommended_tile
+from ..runtime import cut_lineage
 
 PERCENTILES = (50, 75, 85, 90, 95)
 #: Ranges of values in which a group's rows are counted for its percentiles.
@@ -21,14 +22,15 @@ def spread(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 def percentiles(df: DataFrame, column: str, by: list[str], points: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """Exact percentiles with linear interpolation, one row for each group and point; nulls are left out.
 
-    Values are counted in RANGES equal ranges between a group's extremes, from which follows in which ranges the ranks of the
+    Equal values are counted, and these counts summed in RANGES equal ranges between a group's extremes, from which follows in which ranges the ranks of the
     points lie. Only those ranges' distinct values are ordered, each range on its own, so no group is sorted or merged as a
     whole.
     """
-    rows = df.filter(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("__x"))
-    ends = rows.groupBy(*by).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count("*").alias("__n"))
+    values = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("__x")).agg(F.count("*").alias("__k"))
+    values = cut_lineage(values)
+    ends = values.groupBy(*by).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__k").alias("__n"))
     at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(RANGES - 1), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * RANGES))).otherwise(0)
-    counts = rows.join(F.broadcast(ends) if not by else ends, by).withColumn("__r", at).groupBy(*by, "__r", "__x").agg(F.count("*").alias("__k"))
+    counts = values.join(ends, by).select(*by, "__x", "__k", at.alias("__r"))
     ranges = counts.groupBy(*by, "__r").agg(F.sum("__k").alias("__k"))
     before = F.coalesce(F.sum("__k").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranges.withColumn("__first", before).select(*by, "__r", "__first", (F.col("__first") + F.col("__k")).alias("__last"))
