@@ -12,7 +12,7 @@ from ..config import CLASS_GRAYS, CLASS_IDS, TilingConfig
 from ..functions import geometry as g
 from ..functions import scalars as s
 from ..operators import grid, splits, stats
-from ..runtime import shared_dir
+from ..runtime import cut_lineage, shared_dir
 from ..sources import geojson, images, sinks
 from .analysis import BUCKETS, SPLIT_SQL
 from .tiling import CLASS_SQL, INFERENCE_GRAY_SQL, PAIRS_SQL, _assigned, _pairs
@@ -102,7 +102,7 @@ def _records(spark, sf_dir) -> DataFrame:
         "slide", F.col("width").alias("width_native"), F.col("height").alias("height_native"), s.literal_map(CLASS_IDS).alias("class_map"), s.literal_map(CLASS_GRAYS).alias("class_gray_values"),
         "n_glomeruli", F.lit((-(-SLIDE // TILE)) ** 2).alias("n_grid_tiles"), "n_centered_tiles", F.lit(False).alias("otsu_applied"), cfg.alias("tiling_config"),
     )
-    docs = sinks.annotations_documents(heads, tiles, told.select("slide", "gid", cover.alias("entry")))
+    docs = cut_lineage(sinks.annotations_documents(heads, tiles, told.select("slide", "gid", cover.alias("entry"))))
     folder = _folder(spark, "records")
     sinks.write_documents(docs.filter("slide < 7"), folder, "slide")
     left = splits.not_done(docs, sinks.completed(spark, folder, "slide").select(F.col("slide").cast("bigint")), "slide")
