@@ -166,11 +166,19 @@ def mean_of(xs: Column) -> Column:
 
 
 def std_of(xs: Column) -> Column:
-    """Population standard deviation of an array of numbers."""
-    return F.get(
-        F.transform(F.array(mean_of(xs)), lambda m: F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(xs))),
-        F.lit(0),
-    )
+    """Population standard deviation of an array of numbers; null if it is empty.
+
+    Running means in the array's order, by the steps of DuckDB's stddev_pop, so that a deviation that lies on a threshold but for
+    rounding falls on the same side as in SQL.
+    """
+
+    def step(a: Column, x: Column) -> Column:
+        n = a["n"] + 1.0
+        mean = a["mean"] + (x - a["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["sq"] + (x - mean) * (x - a["mean"])).alias("sq"))
+
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "sq")])
+    return F.aggregate(xs, start, step, lambda a: F.when(a["n"] > 0, F.sqrt(a["sq"] / a["n"])))
 
 
 def zscore(xs: Column, eps: float = 1e-6) -> Column:

@@ -48,9 +48,9 @@ def tissue_ratio(cells: DataFrame, tiles: DataFrame, cell: int, keys: list[str],
     return named.withColumn("keep", F.when(F.col("__masked").isNull(), True).otherwise(F.coalesce(F.col("ratio") >= least, F.lit(False)))).drop("__masked")
 
 
-def is_background(pixels: Column, threshold: float = 15.0) -> Column:
-    """Whether the population standard deviation of grey values is under threshold."""
-    return std_of(pixels) < threshold
+def is_background(pixels: Column, threshold: float = 15.0, std: Column | None = None) -> Column:
+    """Whether the population standard deviation of grey values (std, where it is there already) is under threshold."""
+    return (std_of(pixels) if std is None else std) < threshold
 
 
 def keep_training(annotated: Column, tissue: Column, background: Column) -> Column:

@@ -15,7 +15,7 @@ CELL = 500
 
 def patch_background_filter(spark, sf_dir):
     p = patches(spark, sf_dir).withColumn("std", s.std_of(F.col("pixels")))
-    return p.select("vec_id", F.round("std", 6).alias("std"), raster.is_background(F.col("pixels"), PATCH_STD).alias("background"))
+    return p.select("vec_id", F.round("std", 6).alias("std"), raster.is_background(F.col("pixels"), PATCH_STD, F.col("std")).alias("background"))
 
 
 PATCH_BACKGROUND_FILTER = f"""WITH p AS ({PATCH_SQL}), e AS (SELECT vec_id, unnest(pixels) AS v FROM p)

@@ -416,3 +416,24 @@ def test_annotation_records_of_many_parts(spark):
     assert len(mine) == 4 and all(d["width"] == 5 and d["parts"] == 4 for d in mine)
     assert sorted(t["n"] for d in mine for t in d["tiles"]) == list(range(30)) and sorted(k for d in mine for k in d["glomeruli_coverage"]) == [str(i) for i in range(8)]
     assert [d for s, d in docs if s == "t"] == [{"slide": "t", "width": 6, "part": 0, "parts": 1, "glomeruli_coverage": {}, "tiles": []}]
+
+
+def test_deviation_on_the_threshold_is_that_of_sql(spark, tmp_path):
+    import duckdb
+
+    from oracle import duck_rows
+    from tessella.registry import ORACLE_SQL, QUERIES
+
+    # Variance of exactly 676: 64 values whose sums give 64 * s2 - s1 * s1 = 1664 * 1664. SQL's running means miss 26 by rounding in some orders.
+    rng, rows = np.random.default_rng(3), []
+    while len(rows) < 40:
+        x = np.clip(np.rint(rng.normal(127, 26, (20_000, 64))), 0, 255).astype(int)
+        rows += x[64 * (x * x).sum(axis=1) - x.sum(axis=1) ** 2 == 1664 * 1664].tolist()
+    vectors = [[(v + 0.5) / 255 * 1.2 - 0.6 for v in x] for x in rows]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<float>").withColumn("label", F.lit(0))
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    names, want = duck_rows(con, ORACLE_SQL["patch_background_filter"])
+    got = {r.vec_id: r.background for r in QUERIES["patch_background_filter"](spark, str(tmp_path)).collect()}
+    assert got == {r[names.index("vec_id")]: r[names.index("background")] for r in want} and set(got.values()) == {True, False}
