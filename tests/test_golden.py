@@ -437,3 +437,32 @@ def test_deviation_on_the_threshold_is_that_of_sql(spark, tmp_path):
     names, want = duck_rows(con, ORACLE_SQL["patch_background_filter"])
     got = {r.vec_id: r.background for r in QUERIES["patch_background_filter"](spark, str(tmp_path)).collect()}
     assert got == {r[names.index("vec_id")]: r[names.index("background")] for r in want} and set(got.values()) == {True, False}
+
+
+def test_records_of_a_dense_slide_are_many_small_documents(spark, tmp_path):
+    import gzip
+    from pathlib import Path
+
+    from oracle import duck_rows, spark_rows
+    from tessella import runtime
+    from tessella.registry import ORACLE_SQL, QUERIES
+
+    events = spark.range(12_000).selectExpr("id AS event_id", "id % 2 * 7 AS user_id", "element_at(array('click', 'view', 'purchase', 'error', 'signup'), cast(id % 5 + 1 AS int)) AS event_type")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb_of(tmp_path, "events")
+    old = set(Path(runtime.shared_dir(spark)).glob("records-*"))
+    for name in ("annotation_records", "dataset_totals"):
+        got, want = spark_rows(QUERIES[name](spark, str(tmp_path))), duck_rows(con, ORACLE_SQL[name])
+        assert got[0] == want[0] and all(a == pytest.approx(b, abs=2e-3) for a, b in zip(got[1], want[1], strict=True))
+    made = [p for d in set(Path(runtime.shared_dir(spark)).glob("records-*")) - old for p in d.glob("slide=*/part-*")]
+    longest = max(len(line) for p in made for line in (gzip.open(p) if p.suffix == ".gz" else p.open("rb")))
+    assert 10_000 < longest < 3_000_000
+
+
+def duckdb_of(folder, *tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return con
