@@ -66,7 +66,10 @@ def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64 bits: a bit is one if it is set in over half of the shingle hashes. No word: zero."""
-    h = _hashes((text or "").encode().lower().split(), shingle)
+    return _bits(_hashes((text or "").encode().lower().split(), shingle))
+
+
+def _bits(h: np.ndarray) -> int:
     if not len(h):
         return 0
     # Eight 8-bit lanes at a time: a block of 255 hashes can't overflow a lane.
@@ -192,16 +195,33 @@ def _sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
 
 
 def _banded(docs: DataFrame, shingle: int) -> DataFrame:
-    """(__id, key, bands): a digest of the text and the codes of its bands."""
+    """(__id, key, fp, bands): a digest of the text, its SimHash fingerprint and the codes of its bands."""
 
     def kernel(batch: pa.RecordBatch) -> list:
-        bands = []
-        for hashes in _sets(batch.column("__t").to_pylist(), shingle):
-            raw = signature(hashes).tobytes()
+        fps, bands = [], []
+        for text in batch.column("__t").to_pylist():
+            hashes = _hashes((text or "").encode().lower().split(), shingle)
+            fps.append(_bits(hashes))
+            raw = signature(np.unique(hashes)).tobytes()
             bands.append([xxhash.xxh64_intdigest(raw[i : i + 8 * ROWS], i) - (1 << 63) for i in range(0, len(raw), 8 * ROWS)])
-        return [bands]
+        return [pa.array(np.array(fps, np.uint64).view(np.int64)), bands]
+
+    return append(docs, kernel, "fp bigint, bands array<bigint>").drop("__t")
+
+
+def _band_posts(texts: DataFrame) -> DataFrame:
+    """(key, band, code): the lists of minimum hashes."""
+    return texts.select("key", F.posexplode("bands").alias("band", "code"))
+
 
-    return append(docs, kernel, "bands array<bigint>").drop("__t")
+def _linked_posts(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(key, band, code): a list, with band -1, for each component of fingerprints that links() connects; the texts of one
+    fingerprint meet there too."""
+    fps = cut_lineage(texts.select("key", "fp"))
+    found = components(links(fps.select("fp").distinct(), hot)).select(F.col("node").alias("fp"), "root")
+    rooted = join_keyed(fps, cut_lineage(fps.groupBy("fp").agg(F.count("*").alias("__n")).join(found, "fp", "left").filter("__n > 1 OR root IS NOT NULL")), "fp", "__n")
+    rooted = rooted.filter("__n IS NOT NULL")
+    return rooted.select("key", F.lit(-1).alias("band"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("code"))
 
 
 def _facts(texts: DataFrame, shingle: int) -> DataFrame:
@@ -218,7 +238,7 @@ def _facts(texts: DataFrame, shingle: int) -> DataFrame:
 def alike(keys: list, sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, labels: np.ndarray, band: int, kind: str) -> list[tuple]:
     """Links (key, key) that span the near copies among the members of one piece of work.
 
-    A pair counts in the first band that it shares. kind "all" compares all members, "cross" those of unlike sides, "pivot"
+    A pair counts in the first band that it shares, and in a list of linked fingerprints. kind "all" compares all members, "cross" those of unlike sides, "pivot"
     those of side 1 with the others. Pairs of one label are known to be connected. A pair needs sizes within SIMILARITY, then
     AGREE common positional bytes, then SIMILARITY of its sets; of the links found, those that connect two parts stay.
     """
@@ -244,7 +264,8 @@ def alike(keys: list, sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarra
         same = sigs[others] == sigs[i]
         enough = same.sum(axis=1) >= AGREE
         others, same = others[enough], same[enough]
-        first = same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        # A pair of a list of linked fingerprints (band -1) counts there in any case.
+        first = np.full(len(others), True) if band < 0 else same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
         mine = root(i)
         others = [j for j in others[first].tolist() if root(j) != mine and keys[j] != keys[i]]
         if not others:
@@ -333,7 +354,8 @@ def _copies(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """For rows (__id, __t): (__id, key) with key a hash of the text, and the components (node, root) of linked keys."""
     texts = texts.withColumn("key", F.xxhash64(F.coalesce("__t", F.lit(""))))
     made = cut_lineage(_banded(texts, shingle))
-    posts = made.select("key", "bands").dropDuplicates(["key"]).select("key", F.posexplode("bands").alias("band", "code"))
+    distinct = made.select("key", "fp", "bands").dropDuplicates(["key"])
+    posts = _linked_posts(distinct).unionByName(_band_posts(distinct))
     shared = posts.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1")
     live = cut_lineage(posts.join(shared.hint("merge"), "code"))
     # One row of each text: copies don't meet in a task.
@@ -353,8 +375,9 @@ def _copies(texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE) -> DataFrame:
     """(id, key, component_id) for every row: components of "Jaccard similarity of shingle sets is at least SIMILARITY".
 
-    The fingerprint is one byte of each of BANDS * ROWS minimum hashes of the text's shingles. Texts meet in an index of
-    position sets of ROWS minimum hashes; their shared positional bytes are tallied, pairs with AGREE or more are kept and
+    Texts whose SimHash fingerprints are connected by links() (byte-position index, tally, verification by bits) meet first.
+    The pairs beyond its MAX_BITS, which are most at this similarity, meet by a longer fingerprint: one byte of each of
+    BANDS * ROWS minimum hashes of the text's shingles, in an index of position sets of ROWS minimum hashes; all their shared positional bytes are tallied, pairs with AGREE or more are kept and
     verified by their whole shingle sets. So no pair below the bound is linked, and a pair of similarity 0.8 shares no
     position set with probability 3e-5. Equal texts collapse before anything is paired.
 

@@ -563,3 +563,20 @@ def test_markov_span_that_reaches_beyond_a_base_span(spark):
     (r,) = secrets.scan(text).collect()
     assert [(s.start, s.stop) for s in r.access] == [(4, 24)] and [(s.start, s.stop) for s in r.markov] == [(4, 4 + len(key))]
     assert secrets.redact(text).first().text == f"see {secrets.MASK} end"
+
+
+def test_near_copies_meet_by_linked_fingerprints(spark, monkeypatch):
+    """Without the lists of minimum hashes, texts whose SimHash fingerprints are linked are still found and verified."""
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) for _ in range(4)]
+    texts = base + [t + " end" for t in base] + ["lone words of a short text here"]
+    bits = [simhash.fingerprint(t, simhash.COPY_SHINGLE) for t in texts]
+    near = [i for i in range(4) if (bits[i] ^ bits[i + 4]).bit_count() <= simhash.MAX_BITS]
+    assert near
+    posts = simhash._band_posts
+    monkeypatch.setattr(simhash, "_band_posts", lambda t: posts(t).filter("false"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: i - 4 if i - 4 in near else i for i in range(9)}
+    kept = {r.doc_id for r in simhash.stage(spark, docs, "").collect()}
+    assert kept == set(range(9)) - {i + 4 for i in near}
