@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..runtime import cut_lineage, shared_dir, ship
+from ..runtime import cut_estimates, cut_lineage, shared_dir, ship
 
-__all__ = ["append", "buckets_for", "cut_lineage", "id_text", "if_small", "join_keyed", "shared_dir", "table"]
+__all__ = ["append", "buckets_for", "cut_estimates", "cut_lineage", "id_text", "if_small", "join_keyed", "shared_dir", "table"]
 
 #: Bytes of one Arrow batch sent to a Python worker, so that batches of very long texts stay small.
 BATCH_BYTES = "8m"

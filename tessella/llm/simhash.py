@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, cut_lineage, id_text, if_small, join_keyed, table
+from .common import append, cut_estimates, cut_lineage, id_text, if_small, join_keyed, table
 
 MAX_BITS = 2
 MATCHES = 6
@@ -134,10 +134,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): connected components by alternating large-star and small-star rounds, root the least node.
 
     Each round is two joins by key; no node's neighbours are ever gathered in a row. Results are checkpointed, also those of
-    the aggregates, so that both sides of each join are plain exchanges and AQE can split a hub's edges.
+    the aggregates, so that both sides of each join are plain exchanges and AQE can split a hub's edges. Estimated sizes are
+    not carried on: the joins of the rounds would multiply them on the driver without bound.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    now, before = cut_lineage(now), None
+    now, before = cut_estimates(now), None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before or seen[0] == 0:
@@ -146,12 +147,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             )
         before = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        low = cut_estimates(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = cut_lineage(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        floor = cut_lineage(small.groupBy("u").agg(F.min("v").alias("m")))
+        small = cut_estimates(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        floor = cut_estimates(small.groupBy("u").agg(F.min("v").alias("m")))
         linked = small.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = cut_lineage(linked.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
+        now = cut_estimates(linked.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hot: int = HOT) -> DataFrame:

@@ -200,6 +200,20 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+def test_size_estimates_do_not_grow_with_the_rounds_of_components(spark):
+    """Each join multiplies the estimates of its sides: carried from round to round they fill the driver's memory."""
+
+    def bits(frame):
+        return frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    found = simhash.components(chain)
+    assert bits(found) < 200
+    again = simhash.components(found, "node", "root")
+    assert bits(again) == bits(found)
+    assert {r.node: r.root for r in again.collect()} == {i: 0 for i in range(41)}
+
+
 def test_markov_tells_random_strings_from_identifiers(spark):
     labelled = secrets.samples(n=400, seed=99)
     texts = spark.createDataFrame([(i, f"see {t} here", label) for i, (t, label) in enumerate(labelled) if len(t) >= secrets.MIN_RUN], "doc_id bigint, text string, label int")
