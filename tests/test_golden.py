@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -459,6 +460,51 @@ def test_records_of_a_dense_slide_are_many_small_documents(spark, tmp_path):
     assert 10_000 < longest < 3_000_000
 
 
+def test_lists_are_written_where_their_objects_lie(spark, tmp_path):
+    from tessella.bridge import annotations
+    from tessella.functions import scalars
+    from tessella.plans import files
+
+    events = spark.range(2500).selectExpr("id * 37 AS event_id", "id % 2 * 7 AS user_id", "element_at(array('click', 'view', 'purchase', 'error', 'other'), cast(id % 5 + 1 AS int)) AS event_type")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    folder = str(tmp_path / "records")
+    assert files._write(spark, str(tmp_path), folder, [0, 7]) == ["slide=0", "slide=7"]
+    assert sorted(p.name for p in Path(folder).iterdir()) == ["slide=0", "slide=7"]
+    boxes = annotations(spark, str(tmp_path)).withColumn("c", scalars.class_name(F.col("raw_class"))).collect()
+    for w in (0, 7):
+        docs = [json.loads(r.value) for r in spark.read.text(f"{folder}/slide={w}").collect()]
+        assert sorted(d["part"] for d in docs) == list(range(len(docs))) and {d["parts"] for d in docs} == {len(docs)} and {d["n_glomeruli"] for d in docs} == {1250}
+        tiles = [t for d in docs for t in d["tiles"]]
+        centers = {t["glomerulus_id"]: t for t in tiles if t["type"] == "centered"}
+        assert len(centers) == docs[0]["n_centered_tiles"] > 20 and sum(t["type"] == "grid" for t in tiles) == 100 and len(tiles) == 100 + len(centers)
+        for own, t in centers.items():
+            a, b, c, d = t["bbox_native"]
+            share = {r.gid: max(0.0, min(r.x1, c) - max(r.x0, a)) * max(0.0, min(r.y1, d) - max(r.y0, b)) / ((r.x1 - r.x0) * (r.y1 - r.y0)) * 100 for r in boxes if r.slide == w}
+            kind = {r.gid: {"class": r.c} if r.c else {} for r in boxes}
+            assert t["glomeruli"] == [{"id": g, **kind[g], "coverage_pct": v, "role": "primary" if g == own else "secondary"} for g, v in sorted(share.items()) if v > 0]
+            assert t["has_annotations"] and t["origin_native"] == [a, b] and t["image"] == f"images/slide_{w}_centered_g{own:04d}.png"
+
+
+def test_records_that_were_read_leave_the_disk(spark, tmp_path, monkeypatch):
+    from oracle import duck_rows, spark_rows
+    from tessella import runtime
+    from tessella.plans import files
+    from tessella.registry import ORACLE_SQL, QUERIES
+
+    events = spark.range(600).selectExpr("id AS event_id", "id % 3 * 7 AS user_id", "element_at(array('click', 'view', 'purchase', 'error', 'signup'), cast(id % 5 + 1 AS int)) AS event_type")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb_of(tmp_path, "events")
+    monkeypatch.setattr(files, "KEPT", 0)
+    monkeypatch.setattr(files, "WAVE_OBJECTS", 250)
+    old = set(Path(runtime.shared_dir(spark)).glob("records-*"))
+    for name in ("annotation_records", "dataset_totals"):
+        got, want = spark_rows(QUERIES[name](spark, str(tmp_path))), duck_rows(con, ORACLE_SQL[name])
+        assert got[0] == want[0] and all(a == pytest.approx(b, abs=2e-3) for a, b in zip(got[1], want[1], strict=True))
+    for d in set(Path(runtime.shared_dir(spark)).glob("records-*")) - old:
+        assert {p.name for p in d.rglob("*") if p.is_file() and not p.name.endswith(".crc")} == {"_SUCCESS"}
+        assert {r.slide for r in sinks.completed(spark, str(d), "slide").collect()} == {str(w) for w in range(20)}
+
+
 def duckdb_of(folder, *tables):
     import duckdb
 
